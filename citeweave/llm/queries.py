@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import chat_format, source_mix
+from citeweave.llm import chat_format, quality_fm, secret_scan, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_fm.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality_fm.score(documents.select("doc_id", "text", quality_fm.held_out(F.col("doc_id")).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -19,13 +26,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(rows)))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
 
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op3_chat_format": op3_chat_format,
+    "op5_secret_scan": op5_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
 
