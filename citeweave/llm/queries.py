@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import chat_format, quality_fm, secret_scan, source_mix
+from citeweave.llm import best_fit, chat_format, quality_fm, secret_scan, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
@@ -39,6 +49,7 @@ QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op3_chat_format": op3_chat_format,
     "op5_secret_scan": op5_secret_scan,
+    "op8_best_fit": op8_best_fit,
     "op10_source_mix": op10_source_mix,
 }
 
