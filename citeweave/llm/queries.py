@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import best_fit, chat_format, quality_fm, secret_scan, source_mix
+from citeweave.llm import best_fit, chat_format, media_archive, quality_fm, secret_scan, source_mix, warc_store
+from citeweave.llm.common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc_store.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    found = warc_store.records(spark, folder)
+    return found.withColumn("refers_to", F.col("refers_to").cast(found.schema["page_id"].dataType))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -40,6 +48,12 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "media")
+    media_archive.write_archives(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return media_archive.media_features(media_archive.read_archives(spark, folder))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).alias("taken"))
@@ -49,7 +63,9 @@ QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op3_chat_format": op3_chat_format,
     "op5_secret_scan": op5_secret_scan,
+    "op6_warc_store": op6_warc_store,
     "op8_best_fit": op8_best_fit,
+    "op9_media_archive": op9_media_archive,
     "op10_source_mix": op10_source_mix,
 }
 
