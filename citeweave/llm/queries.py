@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import best_fit, chat_format, media_archive, quality_fm, secret_scan, source_mix, warc_store
+from citeweave.llm import best_fit, chat_format, locally_consistent, media_archive, quality_fm, secret_scan, source_mix, warc_store
 from citeweave.llm.common import scratch_path
 
 
@@ -38,6 +38,10 @@ def op6_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("refers_to", F.col("refers_to").cast(found.schema["page_id"].dataType))
 
 
+def op7_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locally_consistent.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc_store": op6_warc_store,
+    "op7_locally_consistent": op7_locally_consistent,
     "op8_best_fit": op8_best_fit,
     "op9_media_archive": op9_media_archive,
     "op10_source_mix": op10_source_mix,
