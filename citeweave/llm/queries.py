@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import best_fit, chat_format, locally_consistent, media_archive, quality_fm, secret_scan, source_mix, warc_store
+from citeweave.llm import best_fit, chat_format, locally_consistent, media_archive, page_differ, quality_fm, secret_scan, source_mix, warc_store
 from citeweave.llm.common import scratch_path
 
 
@@ -27,6 +27,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(rows)))
 
 
+def op4_page_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_differ.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -66,6 +70,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op3_chat_format": op3_chat_format,
+    "op4_page_differ": op4_page_differ,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc_store": op6_warc_store,
     "op7_locally_consistent": op7_locally_consistent,
