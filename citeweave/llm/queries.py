@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import best_fit, chat_format, locally_consistent, media_archive, page_differ, quality_fm, secret_scan, source_mix, warc_store
+from citeweave.llm import best_fit, chat_format, locally_consistent, media_archive, page_differ, quality_fm, secret_scan, source_mix, trie_join, warc_store
 from citeweave.llm.common import scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -69,6 +73,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_trie_join": op2_trie_join,
     "op3_chat_format": op3_chat_format,
     "op4_page_differ": op4_page_differ,
     "op5_secret_scan": op5_secret_scan,
