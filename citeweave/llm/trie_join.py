@@ -57,10 +57,10 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        total = np.uint64(len(words))
+        total = np.array([len(words)], dtype=np.uint64)
         for w in words:
-            total = mix(np.array([total * _MULTIPLIERS[0] + w], dtype=np.uint64))[0]
-        return np.array([total], dtype=np.uint64)
+            total = mix(total * _MULTIPLIERS[0] + w)
+        return total
     last = len(words) - n + 1
     total = words[:last] * _MULTIPLIERS[0]
     for k in range(1, n):
@@ -326,14 +326,12 @@ class Trie:
             differ = np.flatnonzero(a[:n] != b[:n])
             common.append(int(differ[0]) if len(differ) else n)
         # Nodes bottom-up from common beginnings (as for an LCP-interval tree).
-        self.nodes: list[tuple[int, int, int, list[int]]] = []  # first, last, depth, children
+        self.nodes: list[tuple] = []  # first, last, depth, children, (smallest size, largest size, longest array)
         stack: list[list] = []  # [depth, first, children]
         for i in range(len(arrays)):
             depth = len(self.arrays[i])
             child, first = self._add(i, i, depth, []), i
-            before = common[i - 1] if i else -1
             after = common[i] if i + 1 < len(arrays) else -1
-            del before
             while stack and stack[-1][0] > after:
                 top = stack.pop()
                 top[2].append(child)
