@@ -93,7 +93,7 @@ def decode_png(image: bytes) -> tuple[bytes, int]:
     return samples, len(samples) if n_bytes is None else n_bytes
 
 
-def feature(samples: bytes) -> str:
+def feature(samples: bytes | memoryview) -> str:
     """Mean, deviation, share of zero samples, edges, and a 64-bit difference hash over 8 bands of rows."""
     image = np.frombuffer(samples, dtype=np.uint8).reshape(-1, WIDTH)
     cuts = np.linspace(0, len(image), 9).astype(int)
@@ -174,7 +174,7 @@ class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
-        self.batch_bytes = int(options.get("batchbytes", 4 << 20))
+        self.batch_bytes = int(options.get("batchbytes", 1 << 20))
         self.retries = int(options.get("retries", 3))
         self.on_error = options.get("on_error", "fail")
 
@@ -221,8 +221,9 @@ class MediaReader(DataSourceReader):
                     if attempt == self.retries and self.on_error != "row":
                         raise
                     file = self._open(part.name)
-            rows.append((info.filename, info.header_offset, n_bytes, samples, image, error))
-            held += len(samples or b"") + len(image or b"")
+            digest = None if samples is None else hashlib.sha256(image).hexdigest()
+            rows.append((info.filename, info.header_offset, n_bytes, samples, None if samples is None else len(image), digest, error))
+            held += len(samples or b"")
             if held >= self.batch_bytes:
                 yield _batch(rows)
                 rows, held = [], 0
@@ -230,7 +231,15 @@ class MediaReader(DataSourceReader):
             yield _batch(rows)
 
 
-_FIELDS = [("member", pa.string()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("error", pa.string())]
+_FIELDS = [
+    ("member", pa.string()),
+    ("offset", pa.int64()),
+    ("n_bytes", pa.int64()),
+    ("payload", pa.binary()),
+    ("media_bytes", pa.int64()),
+    ("media_sha256", pa.string()),
+    ("error", pa.string()),
+]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -245,7 +254,7 @@ class MediaArchive(DataSource):
         return "media_archive"
 
     def schema(self) -> str:
-        return "member string, offset long, n_bytes long, payload binary, media binary, error string"
+        return "member string, offset long, n_bytes long, payload binary, media_bytes long, media_sha256 string, error string"
 
     def reader(self, schema) -> MediaReader:
         return MediaReader({k.lower(): v for k, v in self.options.items()})
@@ -266,14 +275,19 @@ def media_features(media: DataFrame, id_type: str = "long") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            payload = None
             keys = [m.partition("/")[2].removesuffix(".png") or None for m in batch.column("member").to_pylist()]
+            payloads = batch.column("payload")
             rows = []
-            for n, payload, image in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "payload", "media")), strict=True):
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+            for k, (n, size, digest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media_bytes", "media_sha256")), strict=True)):
+                payload = memoryview(payloads[k].as_buffer())
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature(payload)))
             values = list(zip(*rows, strict=True)) or [()] * len(_OUT)
             columns = [pa.array(keys, pa.string()), *(pa.array(v, type=t) for v, (_, t) in zip(values, _OUT, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *dict(_OUT)])
+            del batch, payloads, payload
+            pa.default_memory_pool().release_unused()
 
     ddl = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = media.select("member", "n_bytes", "payload", "media").mapInArrow(run, ddl)
+    found = media.select("member", "n_bytes", "payload", "media_bytes", "media_sha256").mapInArrow(run, ddl)
     return found.withColumn("doc_id", found["doc_id"].cast(id_type))
