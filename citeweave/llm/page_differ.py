@@ -9,9 +9,11 @@ never deleted for being shared, since articles quote each other; differencing de
 the pages that do not mark their article. A neighbour that shares most of a page's text is a
 copy, not a template, and the other neighbour is asked instead.
 
-Pages travel as lists of lines, sorted by (host, path with padded numbers) in buckets cut at
-bounds from the keys with the smallest hashes; a busy host spans many buckets, and a task
-holds three pages at a time. The first and last page of a bucket have one neighbour.
+Pages travel as hashes of their lines, sorted by (host, path with padded numbers) in buckets
+cut at bounds from the keys with the smallest hashes; a busy host spans many buckets, and a
+task holds three pages at a time. The first and last page of a bucket have one neighbour.
+Which lines to delete comes back for the pages that lose any; the pages are read a second
+time for their text, so that html is not shuffled (unless most pages lose lines).
 
 Null html counts as empty and gives an empty text. A null url, or one without a host, has no
 neighbours. Repeated rows stay (and are copies of each other, so delete nothing). An empty
@@ -20,17 +22,19 @@ table gives an empty result. Columns other than page_id, url and html are ignore
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import range_bucket, shuffle_width, text_array
+from citeweave.llm.common import materialize, range_bucket, shuffle_width, text_array
 
 # ------------------------------------------------------------------ lines of a page
 
@@ -142,7 +146,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 # ------------------------------------------------------------------ alignment
 
 
-def shared_lines(own: list[str], other: list[str]) -> set[int]:
+def shared_lines(own: list[int], other: list[int]) -> set[int]:
     """Positions in ``own`` of a longest common subsequence with ``other`` (equal ends first, then Hunt-Szymanski)."""
     low, high = 0, 0
     least = min(len(own), len(other))
@@ -151,7 +155,7 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
     while high < least - low and own[-1 - high] == other[-1 - high]:
         high += 1
     found = {*range(low), *range(len(own) - high, len(own))}
-    places: dict[str, list[int]] = {}
+    places: dict[int, list[int]] = {}
     for j in range(len(other) - high - 1, low - 1, -1):
         places.setdefault(other[j], []).append(j)  # descending
     tops: list[int] = []
@@ -173,20 +177,24 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, int]], neighbours: list[list[str]], copy_share: float = 0.5) -> str:
-    """The article's lines joined; ``neighbours`` are the lines of near pages, the nearest first."""
-    best = max((kind for _, kind in lines), default=0)
-    if best == 2:
-        return "\n".join(text for text, kind in lines if kind == 2)
-    kept = [k for k, (_, kind) in enumerate(lines) if kind == 1]
-    size = sum(len(lines[k][0]) for k in kept)
-    own = [text for text, _ in lines]
+def template_lines(lines: list[int], kinds: bytes, sizes: list[int], neighbours: list[list[int]], copy_share: float = 0.5) -> list[int]:
+    """Positions of the lines to delete; ``neighbours`` are the lines of near pages, the nearest first."""
+    kept = [k for k, kind in enumerate(kinds) if kind == 1]
+    total = sum(sizes[k] for k in kept)
     for other in neighbours:
-        shared = shared_lines(own, other)
-        if sum(len(own[k]) for k in kept if k in shared) <= copy_share * size:
-            kept = [k for k in kept if k not in shared]
-            break
-    return "\n".join(own[k] for k in kept)
+        shared = shared_lines(lines, other)
+        gone = [k for k in kept if k in shared]
+        if 2 in kinds:
+            return []  # the article is marked: no other line is text anyway
+        if sum(sizes[k] for k in gone) <= copy_share * total:
+            return gone
+    return []
+
+
+def main_text(lines: list[tuple[str, int]], deleted: set[int] = frozenset()) -> str:
+    """The article's lines joined; without a marked article, the lines that are not boilerplate or deleted."""
+    best = max((kind for _, kind in lines), default=0)
+    return "\n".join(text for k, (text, kind) in enumerate(lines) if kind == best and kind and k not in deleted)
 
 
 # ------------------------------------------------------------------ operator
@@ -200,65 +208,85 @@ def url_key(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(padded, F.lit(""))
 
 
+_LINES = "page_id {}, version long, host string, path string, bucket int, lines binary, kinds binary, sizes binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, kinds = [], []
+        hashes, kinds, sizes = [], [], []
         for page in text_array(batch.column("html")).to_pylist():
             lines = page_lines(page)
-            texts.append([t for t, _ in lines])
+            hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t, _ in lines))
             kinds.append(bytes(k for _, k in lines))
-        columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "bucket")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary())], names=["page_id", "url", "host", "path", "bucket", "texts", "kinds"])
+            sizes.append(np.array([len(t) for t, _ in lines], dtype=np.int32).tobytes())
+        columns = [batch.column(c) for c in ("page_id", "version", "host", "path", "bucket")]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes))], names=["page_id", "version", "host", "path", "bucket", "lines", "kinds", "sizes"])
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages arrive in order; a page is written once its next is known."""
-    window: list[tuple] = []  # the page before, the page to write
+    """Pages arrive in order; a page is decided once its next is known. Pages that lose no line have no row."""
+    window: list[tuple] = []  # the page before, the page to decide
     ids: pa.DataType | None = None
     out: list[tuple] = []
+    names = ("page_id", "version", "host", "path", "bucket", "lines", "kinds", "sizes")
 
     def near(page: tuple, other: tuple | None) -> bool:
         return other is not None and page[2] != "" and other[2] == page[2] and other[4] == page[4]
 
-    def write(before: tuple | None, page: tuple, after: tuple | None) -> None:
+    def decide(before: tuple | None, page: tuple, after: tuple | None) -> None:
         found = [(-len(os.path.commonprefix([page[3], o[3]])), k, o[5]) for k, o in enumerate((before, after)) if near(page, o)]
-        text = main_text(list(zip(page[5], page[6], strict=True)), [lines for _, _, lines in sorted(found, key=lambda f: f[:2])])
-        out.append((page[0], page[1], text, len(text)))
+        gone = template_lines(page[5], page[6], page[7], [lines for _, _, lines in sorted(found, key=lambda f: f[:2])])
+        if gone:
+            out.append((page[0], page[1], np.array(gone, dtype=np.int32).tobytes()))
 
     def drain() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 4
+        columns = list(zip(*out, strict=True)) or [()] * 3
         out.clear()
-        kinds = (ids, pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (ids, pa.int64(), pa.binary()), strict=True)], names=["page_id", "version", "deleted"])
 
     for batch in batches:
         ids = batch.column("page_id").type
-        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "bucket", "texts", "kinds")), strict=True):
-            window.append(row)
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            window.append((*row[:5], np.frombuffer(row[5], dtype=np.int64).tolist(), row[6], np.frombuffer(row[7], dtype=np.int32).tolist()))
             if len(window) == 2:
-                write(None, window[0], window[1])
+                decide(None, window[0], window[1])
             elif len(window) == 3:
-                write(*window)
+                decide(*window)
                 window.pop(0)
         yield drain()
     if window:
-        write(window[-2] if len(window) > 1 else None, window[-1], None)
+        decide(window[-2] if len(window) > 1 else None, window[-1], None)
         yield drain()
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for page, deleted in zip(text_array(batch.column("html")).to_pylist(), batch.column("deleted").to_pylist(), strict=True):
+            gone = set(np.frombuffer(deleted, dtype=np.int32).tolist()) if deleted else set()
+            texts.append(main_text(page_lines(page), gone))
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
     host, path = url_key(F.col("url"))
-    rows = pages.select("page_id", "url", "html").withColumns({"host": host, "path": path})
     key = F.concat_ws("\u0001", "host", "path")
     width = shuffle_width(spark)
     n = 4 * width
     some = pages.select("url").withColumns({"host": host, "path": path}).select(key.alias("key"))
     keys = sorted(r.key for r in some.orderBy(F.xxhash64("key"), "key").limit(16 * n).collect())  # a bounded number of URLs
     bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
-    rows = rows.withColumn("bucket", range_bucket(key, bounds))
+    rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("version"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    cut = rows.mapInArrow(_cut, f"page_id {kind}, url string, host string, path string, bucket int, texts array<string>, kinds binary")
-    cut = cut.repartition(width, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url")
-    return cut.mapInArrow(_differ, f"page_id {kind}, url string, text string, n_chars long")
+    located = rows.withColumns({"host": host, "path": path}).withColumn("bucket", range_bucket(key, bounds))
+    cut = located.mapInArrow(_cut, _LINES.format(kind))
+    cut = cut.repartition(width, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "version")
+    decided = materialize(cut.mapInArrow(_differ, f"page_id {kind}, version long, deleted binary").dropDuplicates(["page_id", "version"]), "page-lines")
+    if decided.limit(1).count():
+        rows = rows.join(decided, ["page_id", "version"], "left")
+    else:
+        rows = rows.withColumn("deleted", F.lit(None).cast("binary"))
+    return rows.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
