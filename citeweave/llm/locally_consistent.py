@@ -13,10 +13,10 @@ similarity of their name sets. Everything is array code over many texts at once.
 
 ``with_edits`` pairs each document with the next by descending id. Ids are cut into ranges at
 exact ids, a range goes to one task in order, and the first document of the range below is
-sent along, so no task sees more than its range and one more row.
+sent along, so no task sees more than its range and one more row. Texts travel compressed.
 
 Null text counts as empty; an empty text has the empty fingerprint, and two empty ones are
-alike to 1. Rows that repeat an id follow each other in the order of their texts; null ids
+alike to 1. Rows that repeat an id follow each other in the order of their texts' digests; null ids
 come last. A single document is its own next. An empty table gives an empty result. Columns
 other than doc_id and text are ignored; ids must be numbers.
 """
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,10 +173,20 @@ def _emit(keys: list, texts: list[str], shown: list[bool], id_type: pa.DataType)
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", *dict(_FIELDS)])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as Zstandard frames (half of what the shuffle's own compression leaves), and their digests as tie-breakers."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [t.encode("utf-8", "surrogatepass") for t in text_array(batch.column("text")).to_pylist()]
+        columns = [batch.column(c) for c in ("doc_id", "bucket", "above", "head")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([pack(t) for t in texts], pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())], names=["doc_id", "bucket", "above", "head", "packed", "digest"])
+
+
 def _pairs(alone: bool):
     """Tasks see buckets in order; in each the documents in order, then the first of the next bucket (marked ``tail``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         held: tuple | None = None  # the last document, which waits for its next
         head: str | None = None
         id_type = None
@@ -184,7 +195,7 @@ def _pairs(alone: bool):
             keys = batch.column("doc_id").to_pylist()
             buckets = batch.column("bucket").to_pylist()
             tails = batch.column("tail").to_pylist()
-            texts = text_array(batch.column("text")).to_pylist()
+            texts = [unpack(x).decode("utf-8", "surrogatepass") for x in batch.column("packed").to_pylist()]
             head = texts[0] if head is None and texts else head
             if held is not None:
                 keys, buckets, tails, texts = [held[0], *keys], [held[1], *buckets], [held[2], *tails], [held[3], *texts]
@@ -216,15 +227,16 @@ def with_edits(documents: DataFrame) -> DataFrame:
     found = rows.agg(F.percentile_approx("doc_id", cuts, max(10000, 20 * n)).alias("b")).first().b
     bounds = sorted(set(found or []))
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    packed = f"doc_id {kind}, bucket int, above int, head boolean, packed binary, digest binary"
+    order = ["bucket", "tail", F.col("doc_id").desc_nulls_last(), "digest"]
     if len(bounds) < 2:
-        one = rows.withColumns({"bucket": F.lit(0), "tail": F.lit(0)}).repartition(1).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
-        return one.mapInArrow(_pairs(True), schema)
+        one = rows.withColumns({"bucket": F.lit(0), "above": F.lit(0), "head": F.lit(False)}).mapInArrow(_pack, packed)
+        return one.withColumn("tail", F.lit(0)).repartition(1).sortWithinPartitions(*order).mapInArrow(_pairs(True), schema)
     rows = rows.withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
     # A bound is the first document of its bucket: it also closes the bucket above, the largest the lowest bucket.
-    above = (F.col("bucket") + 1) % len(bounds)
     is_head = F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1) == F.col("doc_id")
-    seat = lambda bucket, tail: F.struct(bucket.alias("bucket"), F.lit(tail).alias("tail"))
-    seats = F.when(is_head, F.array(seat(F.col("bucket"), 0), seat(above, 1))).otherwise(F.array(seat(F.col("bucket"), 0)))
-    rows = rows.select("doc_id", "text", F.explode(seats).alias("seat")).select("doc_id", "text", "seat.bucket", "seat.tail")
-    rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInArrow(_pairs(False), schema)
+    rows = rows.withColumns({"above": (F.col("bucket") + 1) % len(bounds), "head": F.coalesce(is_head, F.lit(False))}).mapInArrow(_pack, packed)
+    seat = lambda bucket, tail: F.struct(F.col(bucket).alias("bucket"), F.lit(tail).alias("tail"))
+    seats = F.when(F.col("head"), F.array(seat("bucket", 0), seat("above", 1))).otherwise(F.array(seat("bucket", 0)))
+    rows = rows.select("doc_id", "packed", "digest", F.explode(seats).alias("seat")).select("doc_id", "packed", "digest", "seat.bucket", "seat.tail")
+    return rows.repartition(width, "bucket").sortWithinPartitions(*order).mapInArrow(_pairs(False), schema)
