@@ -8,19 +8,25 @@ similarity reaches the threshold, and reports them as connected components. Shin
 1. ``signatures``: one pass computes each document's set hash and, per task, the shingles
    that many of its documents share. Their sums give the most frequent shingles (a bounded
    table), which come last in the global order of shingles; the rest come by hash.
-2. ``candidates``: two sets that reach the threshold share a shingle among the first 20% of
-   either in that order. A task joins its own sets with equal such shingles and sends on,
-   for each shingle and narrow range of set sizes, one of them; a reducer sorts what it gets
-   by (shingle, size) and joins neighbours whose sizes are close enough. Only spanning
-   edges leave a task, so a shingle or a group of copies, however large, adds a row per task
-   and not a row per pair. Components of these edges are the candidate clusters: no pair
-   that reaches the threshold crosses two of them.
-3. ``links``: each cluster's sets come together once, and are joined by a trie: sets, rarest
+2. ``candidates``: in the first 25% of either in that order, two sets that reach the threshold
+   share a shingle, and if they are large, at least a twentieth of their sizes. Each shingle's
+   sets of close sizes meet at a reducer; sets with fewer such shingles than any link needs
+   are dropped, twice; the sets that are left are joined where they follow each other in
+   (shingle, size) order. Only spanning edges leave a task, so a shingle or a group of
+   copies, however large, adds rows in proportion to its sets and never pairs. Components
+   of these edges are the candidate clusters: no pair that reaches the threshold crosses two
+   of them.
+3. ``refined``: inside large clusters the order is made anew, from the exact number of their
+   sets that hold each shingle, which parts texts that merely share a passage.
+4. ``links``: each cluster's sets come together once, and are joined by a trie: sets, rarest
    shingle first, share the nodes of equal beginnings; a query walks it with its partial
    overlap and leaves a subtree when the shingles that remain cannot reach the threshold,
    or when all sets below are connected with it already. A cluster that is too large for
    one task is cut into blocks, and each pair of blocks is joined in a task of its own.
 
+Texts are read from the input again where they are needed. Only those of clustered sets
+move, found by a filter of fixed size, so the bulk of the corpus is never shuffled.
+
 Null and empty texts have empty sets, linked with nothing. Rows that repeat a doc_id are
 separate documents that share an id. Documents with a null id take part in no link and have
 a null component. An empty table gives an empty result; columns other than doc_id and text
@@ -33,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +49,13 @@ from citeweave.llm.components import components
 WORDS = 5
 PERCENT = 80
 #: Shingles at the end of the global order, at most (the bound of what is broadcast).
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Documents of one task that must share a shingle before the task reports it.
-LOCAL_LEAST = 8
+LOCAL_LEAST = 2
+#: Clusters with more shingles are refined.
+REFINE_SHINGLES = 100_000
+#: Bits of the filter of clustered sets, at most (the bound of what is broadcast).
+FILTER_BITS = 1 << 27
 #: Shingles of the sets that are joined in one task, at most (unless two blocks hold more).
 UNIT_SHINGLES = 3_000_000
 TOKENS_PER_BUCKET = 1_500_000
@@ -97,7 +108,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 class _FrequentHere:
     """Shingles that many documents of a task share; bounded by dropping rare ones now and then."""
 
-    def __init__(self):
+    def __init__(self, least: int):
+        self.least = least
         self.held: list[np.ndarray] = []
         self.size = 0
         self.items, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -112,29 +124,38 @@ class _FrequentHere:
         if not self.held:
             return
         items, counts = np.unique(np.concatenate(self.held), return_counts=True)
-        enough = counts >= LOCAL_LEAST
+        enough = counts >= self.least
         items, at = np.unique(np.concatenate([self.items, items[enough]]), return_inverse=True)
         self.counts = np.bincount(at, np.concatenate([self.counts, counts[enough]]), minlength=len(items)).astype(np.int64)
         self.items, self.held, self.size = items, [], 0
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    here = _FrequentHere()
+def _signatures(least: int):
     names = ["doc_id", "n", "s1", "s2", "shingle", "count"]
-    id_type = pa.int64()
-    for batch in batches:
-        id_type = batch.column("doc_id").type
-        rows = []
-        for _, items in sets_of(batch.column("text")):
-            rows.append((len(items), *set_hash(items)))
-            here.add(items)
-        n, s1, s2 = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ())))
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, s1, s2, none, none], names=names)
-    here.settle()
-    k = len(here.items)
-    blank = pa.nulls(k, pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), blank, blank, blank, pa.array(here.items.view(np.int64)), pa.array(here.counts)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = _FrequentHere(least)
+        seen: set[int] = set()
+        id_type = pa.int64()
+        for batch in batches:
+            id_type = batch.column("doc_id").type
+            rows = []
+            for _, items in sets_of(batch.column("text")):
+                rows.append((len(items), *set_hash(items)))
+                if rows[-1][1] not in seen:  # copies of a set count once
+                    seen.add(rows[-1][1])
+                    here.add(items)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            n, s1, s2 = (pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ())))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, s1, s2, none, none], names=names)
+        here.settle()
+        k = len(here.items)
+        blank = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), blank, blank, blank, pa.array(here.items.view(np.int64)), pa.array(here.counts)], names=names)
+
+    return run
 
 
 # ------------------------------------------------------------------ 2. candidates
@@ -143,9 +164,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Order:
     """The global order: shingles outside the table by hash, then those of the table by frequency."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        items = np.array([s for s, _ in frequent], dtype=np.int64).view(np.uint64)
-        counts = np.array([c for _, c in frequent], dtype=np.int64)
+    def __init__(self, items: np.ndarray, counts: np.ndarray):
+        items = items.view(np.uint64)
         by_rank = np.lexsort((items, counts))
         rank = np.empty(len(items), dtype=np.int64)
         rank[by_rank] = np.arange(len(items))
@@ -189,120 +209,141 @@ class Forest:
         return nodes, [self.find(x) for x in nodes]
 
 
-def _join_neighbours(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, forest: Forest, slack: float) -> None:
+def _join_neighbours(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, forest: Forest) -> None:
     """Join nodes that follow each other in (token, size) order with one token and sizes within the threshold."""
     at = np.lexsort((sizes, tokens))
     t, v, s = tokens[at], nodes[at], sizes[at]
-    near = (t[1:] == t[:-1]) & (v[1:] != v[:-1]) & (s[1:] * PERCENT <= s[:-1] * 100 * slack)
+    near = (t[1:] == t[:-1]) & (v[1:] != v[:-1]) & (s[1:] * PERCENT <= s[:-1] * 100)
     pairs = np.unique(np.stack([v[:-1][near], v[1:][near]], axis=1), axis=0) if near.any() else ()
     for a, b in pairs:
         forest.join(int(a), int(b))
 
 
-#: Sizes of one band differ by less than 3%; joining across bands allows for that on both sides.
-_BAND = np.log(1.03)
-_SLACK = 1.03**2
+def shared_least(n):
+    """Shingles that the extended prefixes of a set of n and of any set that it links with share at least."""
+    return np.maximum(1, n // 20)
 
 
-def _prefixes(order, n_buckets: int):
-    def flush(held: list, forest: Forest) -> Iterator[tuple]:
+def _prefixes(order, n_buckets: int, percent: int = PERCENT):
+    """The extended prefix of each set, dealt by shingle: 48 bits of each shingle, and the place of its set in a table."""
+
+    def flush(held: list) -> pa.RecordBatch:
         tokens = np.concatenate([x for x, _, _ in held])
         lengths = [len(x) for x, _, _ in held]
-        nodes = np.repeat(np.array([v for _, v, _ in held], dtype=np.int64), lengths)
-        sizes = np.repeat(np.array([s for _, _, s in held], dtype=np.int64), lengths)
-        band = (np.log(sizes) / _BAND).astype(np.int64)
-        at = np.lexsort((nodes, band, tokens))
-        tokens, nodes, sizes, band = tokens[at], nodes[at], sizes[at], band[at]
-        same = (tokens[1:] == tokens[:-1]) & (band[1:] == band[:-1])
-        joined = same & (nodes[1:] != nodes[:-1])
-        if joined.any():
-            for a, b in np.unique(np.stack([nodes[:-1][joined], nodes[1:][joined]], axis=1), axis=0):
-                forest.join(int(a), int(b))
-        first = np.flatnonzero(np.append(True, ~same))
-        tokens, nodes, sizes = tokens[first], nodes[first], sizes[first]
-        bucket = (tokens % np.uint64(n_buckets)).astype(np.int64)
+        table = np.array([v for _, v, _ in held], dtype=np.int64).tobytes()
+        sizes = np.array([s for _, _, s in held], dtype=np.int32).tobytes()
+        place = np.repeat(np.arange(len(held), dtype=np.uint16 if len(held) < 65536 else np.uint32), lengths)
+        short = (tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        bucket = (tokens >> np.uint64(16)) % np.uint64(n_buckets)
         at = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[at], np.arange(n_buckets + 1))
-        for k in range(n_buckets):
-            part = at[cuts[k] : cuts[k + 1]]
-            if len(part):
-                yield k, tokens[part].tobytes(), nodes[part].tobytes(), sizes[part].astype(np.int32).tobytes()
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "tokens", "nodes", "sizes"])
+        cuts = np.searchsorted(bucket[at], np.arange(n_buckets + 1, dtype=np.uint64))
+        rows = [(k, short[at[cuts[k] : cuts[k + 1]]].tobytes(), table, sizes, place[at[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        return _blobs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
-        forest, held, size, seen = Forest(), [], 0, set()
+        held, size, seen = [], 0, set()
         for batch in batches:
             for _, items in sets_of(batch.column("text")):
                 if not len(items):
                     continue
-                node = set_hash(items)[0]
+                node, n = set_hash(items)[0], len(items)
                 if node in seen:
                     continue
                 seen.add(node)
-                held.append((ranks.prefix(items, prefix_length(len(items))).copy(), node, len(items)))
+                held.append((ranks.prefix(items, prefix_length(n, percent) + int(shared_least(n)) - 1).copy(), node, n))
                 size += len(held[-1][0])
                 if size > TOKENS_PER_BUCKET:
-                    yield batch_of(list(flush(held, forest)))
+                    yield flush(held)
                     held, size, seen = [], 0, set()
         if held:
-            yield batch_of(list(flush(held, forest)))
-        u, v = forest.edges()
-        if u:
-            yield batch_of([(-1, b"", np.array(u, dtype=np.int64).tobytes(), np.array(v, dtype=np.int64).tobytes())])
+            yield flush(held)
 
     return run
 
 
-def _edge_batch(u: list[int], v: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of ``_prefixes`` with a set and a size for each shingle."""
+    for batch in batches:
+        rows = []
+        for bucket, tokens, table, sizes, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(tokens) // 6
+            wide = np.zeros((n, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(tokens, dtype=np.uint8).reshape(n, 6)
+            at = np.frombuffer(place, dtype=np.uint16 if len(place) == 2 * n else np.uint32)
+            rows.append((bucket, wide.tobytes(), np.frombuffer(table, dtype=np.int64)[at].tobytes(), np.frombuffer(sizes, dtype=np.int32)[at].tobytes(), b""))
+        yield _blobs(rows)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive in order; each is sorted alone."""
-    forest = Forest()
-    held: list[tuple[bytes, bytes, bytes]] = []
-    now = None
+def _with_partner(n_buckets: int, unpack: bool, percent: int = PERCENT):
+    """Shingles of a set that a set of a close size holds too, dealt by set."""
 
-    def settle() -> None:
-        if held:
-            tokens = np.frombuffer(b"".join(t for t, _, _ in held), dtype=np.uint64)
-            nodes = np.frombuffer(b"".join(v for _, v, _ in held), dtype=np.int64)
-            sizes = np.frombuffer(b"".join(s for _, _, s in held), dtype=np.int32).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes, sizes, _ in _by_bucket(_unpacked(batches) if unpack else batches):
             order = np.argsort(tokens, kind="stable")
             same = tokens[order][1:] == tokens[order][:-1]
-            keep = order[np.append(False, same) | np.append(same, False)]
-            _join_neighbours(tokens[keep], nodes[keep], sizes[keep], forest, _SLACK)
-            held.clear()
+            some = order[np.append(False, same) | np.append(same, False)]
+            some = some[np.lexsort((nodes[some], sizes[some], tokens[some]))]
+            t, v, s = tokens[some], nodes[some], sizes[some]
+            new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])) if len(t) else np.zeros(0, dtype=bool)
+            t, v, s = t[new], v[new], s[new]
+            near = (t[1:] == t[:-1]) & (s[1:].astype(np.int64) * percent <= s[:-1].astype(np.int64) * 100)
+            keep = np.append(False, near) | np.append(near, False) if len(t) else new
+            if keep.any():
+                yield _blobs([(*row, b"") for row in _deal(v[keep], n_buckets, t[keep], v[keep], s[keep])])
 
-    for batch in batches:
-        for bucket, tokens, nodes, sizes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "nodes", "sizes")), strict=True):
-            if bucket == -1:
-                for a, b in zip(np.frombuffer(nodes, dtype=np.int64).tolist(), np.frombuffer(sizes, dtype=np.int64).tolist(), strict=True):
-                    forest.join(a, b)
-                continue
-            if bucket != now:
-                settle()
-                now = bucket
-            held.append((tokens, nodes, sizes))
-    settle()
-    yield _edge_batch(*forest.edges())
+    return run
+
+
+def _with_enough(n_buckets: int, percent: int = PERCENT):
+    """Sets that share as many shingles of their prefix as any link of theirs needs, dealt by shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes, sizes, _ in _by_bucket(batches):
+            at = np.argsort(nodes, kind="stable")
+            t, v, s = tokens[at], nodes[at], sizes[at]
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            many = np.diff(np.append(first, len(v)))
+            keep = np.repeat(many >= shared_least(least_overlap(s[first].astype(np.int64), percent)), many)
+            if keep.any():
+                yield _blobs([(*row, b"") for row in _deal(t[keep], n_buckets, t[keep], v[keep], s[keep])])
+
+    return run
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning edges between sets that follow each other in (shingle, size) order with close sizes."""
+    forest = Forest()
+    for tokens, nodes, sizes, _ in _by_bucket(batches):
+        _join_neighbours(tokens, nodes, sizes.astype(np.int64), forest)
+    u, v = forest.edges()
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _edge_batch(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+_BLOBS = "bucket int, tokens binary, nodes binary, sizes binary, counts binary"
+
+
+def _dealt(df: DataFrame, n: int) -> DataFrame:
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
 def candidates(documents: DataFrame, signatures: DataFrame) -> DataFrame:
     """u, v: set hashes and the least set hash of their candidate cluster; sets alone in theirs have no row."""
     spark = documents.sparkSession
     counted = signatures.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()  # bounded by FREQUENT
-    order = spark.sparkContext.broadcast(Order([(r.shingle, r.n) for r in top]))
-    total = signatures.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
-    n_buckets = int(total // TOKENS_PER_BUCKET) + 12
-    blobs = documents.select("text").mapInArrow(_prefixes(order, n_buckets), "bucket int, tokens binary, nodes binary, sizes binary")
-    dealt = blobs.repartition(n_buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("nodes") % n_buckets)).sortWithinPartitions("bucket")
-    return components(dealt.mapInArrow(_edges, "u long, v long"), "trie-candidates")
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # bounded by FREQUENT
+    order = spark.sparkContext.broadcast(Order(top.column("shingle").to_numpy().copy(), top.column("n").to_numpy().copy()))
+    total = signatures.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
+    n = int(total // TOKENS_PER_BUCKET) + 12
+    rows, unpack = documents.select("text").mapInArrow(_prefixes(order, n), _BLOBS), True
+    for _ in range(2):  # sets that drop out may leave others without partners
+        partners = _dealt(rows, n).mapInArrow(_with_partner(n, unpack), _BLOBS)
+        rows, unpack = _dealt(partners, n).mapInArrow(_with_enough(n), _BLOBS), False
+    return components(_dealt(rows, n).mapInArrow(_edges, "u long, v long"), "trie-candidates")
 
 
 # ------------------------------------------------------------------ 3. links
@@ -459,7 +500,7 @@ def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         now = None
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int]] = []
 
         def settle() -> None:
             keys = sorted(held)
@@ -474,14 +515,12 @@ def _links(percent: int):
             return _edge_batch(u, v)
 
         for batch in batches:
-            units, nodes = batch.column("unit").to_pylist(), batch.column("s1").to_pylist()
-            for k, items in sets_of(batch.column("text")):
+            units = batch.column("unit").to_pylist()
+            for k, items in sets_of(_unpack(batch)):
                 if units[k] != now:
                     settle()
                     now = units[k]
-                s1, s2 = set_hash(items)
-                if s1 == nodes[k]:  # another row may repeat the id with another text
-                    held[s1, s2] = items
+                held[set_hash(items)] = items
             yield drain()
         settle()
         yield drain()
@@ -489,25 +528,186 @@ def _links(percent: int):
     return run
 
 
-def links(documents: DataFrame, signatures: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """u, v: set hashes and the least set hash of their component, for sets that are linked with another."""
-    cluster_of = clusters.select(F.col("u").alias("s1"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("s1"), F.col("v").alias("cluster")).distinct())
-    active = signatures.where("n > 0 and doc_id is not null").join(cluster_of, "s1")
-    active = materialize(active.groupBy("s1", "s2", "n", "cluster").agg(F.min("doc_id").alias("doc_id")), "trie-active")
-    heavy = materialize(active.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > UNIT_SHINGLES).withColumn("blocks", F.ceil(F.col("weight") * 2 / UNIT_SHINGLES).cast("int")), "trie-heavy")
+def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v: set hashes and the least set hash of their component, for sets (s1, n, cluster, packed) that are linked with another."""
+    weights = texts.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > UNIT_SHINGLES)
+    heavy = materialize(weights.withColumn("blocks", F.ceil(F.col("weight") * 2 / UNIT_SHINGLES).cast("int")), "trie-heavy")
     split = heavy.limit(1).count() > 0
     if split:
         block = F.pmod(F.xxhash64("s1"), "blocks").cast("int")
         partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cluster", F.least(j, block), F.greatest(j, block)))
-        units = active.join(heavy.select("cluster", "blocks"), "cluster", "left").withColumn("unit", F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cluster"))).otherwise(F.array_distinct(partners))))
+        joined = texts.join(heavy.select("cluster", "blocks"), "cluster", "left")
+        units = joined.withColumn("unit", F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cluster"))).otherwise(F.array_distinct(partners))))
     else:
-        units = active.withColumn("unit", F.xxhash64("cluster"))
-    texts = documents.select("doc_id", "text").join(units.select("doc_id", "s1", "unit"), "doc_id").select("unit", "s1", "text")
-    dealt = texts.repartition("unit").sortWithinPartitions("unit", "s1")
+        units = texts.withColumn("unit", F.xxhash64("cluster"))
+    dealt = units.select("unit", "s1", "packed").repartition("unit").sortWithinPartitions("unit", "s1")
     found = dealt.mapInArrow(_links(percent), "u long, v long")
     return components(found, "trie-links") if split else materialize(found, "trie-links")
 
 
+# ------------------------------------------------------------------ texts of clustered sets
+
+
+def _filter_bits(n_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits, dtype=bool)
+        for batch in batches:
+            bits[_places(batch.column("s1").to_numpy(zero_copy_only=False), n_bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def _places(nodes: np.ndarray, n_bits: int) -> np.ndarray:
+    return (mix(nodes.astype(np.int64).view(np.uint64)) & np.uint64(n_bits - 1)).astype(np.int64)
+
+
+def _clustered(filter_, n_bits: int):
+    """Texts of sets that the filter holds, each set once per task, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(filter_.value, dtype=np.uint8)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch.column("text")
+            rows: list[tuple] = []
+            for k, items in sets_of(texts):
+                if len(items):
+                    node = set_hash(items)[0]
+                    place = int(_places(np.array([node]), n_bits)[0])
+                    if bits[place >> 3] >> (7 - (place & 7)) & 1 and node not in seen:
+                        seen.add(node)
+                        rows.append((node, len(items), pack(texts[k].as_py().encode("utf-8", "surrogatepass"))))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["s1", "n", "packed"])
+
+    return run
+
+
+def _unpack(batch: pa.RecordBatch) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in batch.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
+def clustered_texts(documents: DataFrame, clusters: DataFrame) -> DataFrame:
+    """s1, n, cluster, packed: the text of each set that shares its cluster with another (from each task that has it)."""
+    spark = documents.sparkSession
+    cluster_of = materialize(clusters.select(F.col("u").alias("s1"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("s1"), F.col("v").alias("cluster")).distinct()), "trie-active")
+    n_bits = min(FILTER_BITS, 1 << max(16, (16 * cluster_of.count()).bit_length()))
+    parts = cluster_of.select("s1").coalesce(8).mapInArrow(_filter_bits(n_bits), "bits binary").collect()  # at most 8 of n_bits bits
+    merged = np.zeros(n_bits // 8, dtype=np.uint8)
+    for r in parts:
+        merged |= np.frombuffer(r.bits, dtype=np.uint8)
+    found = documents.where("doc_id is not null").select("text").mapInArrow(_clustered(spark.sparkContext.broadcast(merged.tobytes()), n_bits), "s1 long, n long, packed binary")
+    return materialize(found.join(cluster_of, "s1"), "trie-texts")
+
+
+# ------------------------------------------------------------------ 3. refined clusters
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "tokens", "nodes", "sizes", "counts"])
+
+
+def _deal(key: np.ndarray, n_buckets: int, *arrays: np.ndarray) -> Iterator[tuple]:
+    bucket = (key.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+    at = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[at], np.arange(n_buckets + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        part = at[cuts[k] : cuts[k + 1]]
+        yield (int(k), *(a[part].tobytes() for a in arrays))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (tokens, nodes, sizes, counts) of each bucket; buckets arrive in order."""
+    held: list[tuple] = []
+    now = None
+    kinds = (np.uint64, np.int64, np.int32, np.int32)
+
+    def whole() -> tuple[np.ndarray, ...]:
+        return tuple(np.frombuffer(b"".join(parts), dtype=k) for parts, k in zip(zip(*held, strict=True), kinds, strict=True))
+
+    for batch in batches:
+        for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and held:
+                yield whole()
+                held = []
+            now = bucket
+            held.append(parts)
+    if held:
+        yield whole()
+
+
+def _all_shingles(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("s1").to_pylist()
+            held = [(items, nodes[k]) for k, items in sets_of(_unpack(batch))]
+            if held:
+                lengths = np.array([len(x) for x, _ in held], dtype=np.int32)
+                tokens = np.concatenate([x for x, _ in held])
+                of = np.repeat(np.array([v for _, v in held], dtype=np.int64), lengths)
+                yield _blobs([(*row, b"") for row in _deal(tokens, n_buckets, tokens, of, np.repeat(lengths, lengths))])
+
+    return run
+
+
+def _counted(n_buckets: int):
+    """Shingles that two sets or more hold, with their number of sets, dealt by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes, sizes, _ in _by_bucket(batches):
+            at = np.lexsort((nodes, tokens))
+            t, v, s = tokens[at], nodes[at], sizes[at]
+            new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))
+            t, v, s = t[new], v[new], s[new]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            counts = np.repeat(n := np.diff(np.append(first, len(t))), n).astype(np.int32)
+            some = counts > 1
+            yield _blobs(list(_deal(v[some], n_buckets, t[some], v[some], s[some], counts[some])))
+
+    return run
+
+
+def _exact_prefixes(n_buckets: int):
+    """Each set's prefix in the order of exact numbers of sets, dealt by shingle; shingles of one set come first and match nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes, sizes, counts in _by_bucket(batches):
+            at = np.lexsort((tokens, counts, nodes))
+            t, v, s = tokens[at], nodes[at], sizes[at].astype(np.int64)
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            many = np.diff(np.append(first, len(v)))
+            place = np.arange(len(v)) - np.repeat(first, many)
+            take = prefix_length(s) - (s - np.repeat(many, many))
+            keep = place < take
+            t, v, s = t[keep], v[keep], s[keep].astype(np.int32)
+            yield _blobs([(*row, b"") for row in _deal(t, n_buckets, t, v, s)])
+
+    return run
+
+
+def refined(texts: DataFrame) -> DataFrame:
+    """``texts`` with large clusters parted; sets that are left alone are dropped."""
+    weights = texts.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > REFINE_SHINGLES)
+    large = materialize(weights, "trie-large")
+    total = large.agg(F.sum("weight")).first()[0]
+    if not total:
+        return texts
+    n = int(total // TOKENS_PER_BUCKET) + 12
+    rows = texts.join(large.select("cluster"), "cluster").select("s1", "packed")
+    counted = _dealt(rows.mapInArrow(_all_shingles(n), _BLOBS), n).mapInArrow(_counted(n), _BLOBS)
+    prefixes = _dealt(counted, n).mapInArrow(_exact_prefixes(n), _BLOBS)
+    edges = _dealt(prefixes, n).mapInArrow(_edges, "u long, v long")
+    parts = components(edges, "trie-refined")
+    cluster_of = parts.select(F.col("u").alias("s1"), F.col("v").alias("part")).unionByName(parts.select(F.col("v").alias("s1"), F.col("v").alias("part")).distinct())
+    again = texts.join(large.select("cluster"), "cluster").join(cluster_of, "s1").select("s1", "n", F.col("part").alias("cluster"), "packed")
+    return materialize(texts.join(large.select("cluster"), "cluster", "left_anti").select("s1", "n", "cluster", "packed").unionByName(again), "trie-refined-texts")
+
+
 # ------------------------------------------------------------------ operator
 
 
@@ -515,9 +715,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document."""
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = docs.mapInArrow(_signatures, f"doc_id {kind}, n long, s1 long, s2 long, shingle long, count long")
+    signed = docs.mapInArrow(_signatures(LOCAL_LEAST), f"doc_id {kind}, n long, s1 long, s2 long, shingle long, count long")
     signatures = materialize(signed, "trie-signatures")
-    found = links(docs, signatures, candidates(docs, signatures))
+    found = links(refined(clustered_texts(docs, candidates(docs, signatures))))
     own = signatures.where("n is not null").select("doc_id", "n", "s1", "s2")
 
     # Sets that stand for more than one document: repeated, or linked with another set.
