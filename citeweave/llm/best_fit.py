@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialize, text_array
+from citeweave.llm.common import lean, materialize, text_array
 
 CAPACITY = 1024
 END_ID = 2
@@ -82,6 +82,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
@@ -272,6 +273,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 def sequences(documents: DataFrame, packed: DataFrame, tokenizer: str) -> DataFrame:
     """sequence_id, ids array<int>: the packed sequences themselves; doc_id must be unique for this."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

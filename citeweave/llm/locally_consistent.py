@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import _BYTE, mix, range_bucket, shuffle_width, span_hashes, text_array, text_chunks
+from citeweave.llm.common import _BYTE, lean, mix, range_bucket, shuffle_width, span_hashes, text_array, text_chunks
 
 KEEP = 64
 LEVELS = (2, 3)
@@ -173,6 +173,7 @@ def _emit(keys: list, texts: list[str], shown: list[bool], id_type: pa.DataType)
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", *dict(_FIELDS)])
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as Zstandard frames (half of what the shuffle's own compression leaves), and their digests as tie-breakers."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -185,6 +186,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(alone: bool):
     """Tasks see buckets in order; in each the documents in order, then the first of the next bucket (marked ``tail``)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         held: tuple | None = None  # the last document, which waits for its next

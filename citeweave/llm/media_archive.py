@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from citeweave.llm.common import text_array
+from citeweave.llm.common import lean, text_array
 
 WIDTH = 64
 RANGE_BYTES = 8 << 20
@@ -273,6 +273,7 @@ _OUT = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256
 def media_features(media: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id and the digests and features of each member that was read."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload = None

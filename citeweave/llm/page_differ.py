@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialize, range_bucket, shuffle_width, text_array
+from citeweave.llm.common import lean, materialize, range_bucket, shuffle_width, text_array
 
 # ------------------------------------------------------------------ lines of a page
 
@@ -211,6 +211,7 @@ def url_key(url: Column) -> tuple[Column, Column]:
 _LINES = "page_id {}, version long, host string, path string, bucket int, lines binary, kinds binary, sizes binary"
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes, kinds, sizes = [], [], []
@@ -223,6 +224,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes))], names=["page_id", "version", "host", "path", "bucket", "lines", "kinds", "sizes"])
 
 
+@lean
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages arrive in order; a page is decided once its next is known. Pages that lose no line have no row."""
     window: list[tuple] = []  # the page before, the page to decide
@@ -259,6 +261,7 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield drain()
 
 
+@lean
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

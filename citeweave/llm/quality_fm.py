@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import text_chunks, word_hashes
+from citeweave.llm.common import lean, text_chunks, word_hashes
 
 WORDS = 1 << 13
 RANK = 6
@@ -162,6 +162,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@lean
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         idx, val, stat = [], [], []
@@ -194,6 +195,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     source = documents.select(*names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + ["score double, predicted int"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.zeros(0)]

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialize, mix, text_chunks, word_hashes
+from citeweave.llm.common import lean, materialize, mix, text_chunks, word_hashes
 from citeweave.llm.components import components
 
 WORDS = 5
@@ -57,8 +57,8 @@ REFINE_SHINGLES = 100_000
 #: Bits of the filter of clustered sets, at most (the bound of what is broadcast).
 FILTER_BITS = 1 << 27
 #: Shingles of the sets that are joined in one task, at most (unless two blocks hold more).
-UNIT_SHINGLES = 3_000_000
-TOKENS_PER_BUCKET = 1_500_000
+UNIT_SHINGLES = 2_000_000
+TOKENS_PER_BUCKET = 800_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -117,7 +117,7 @@ class _FrequentHere:
     def add(self, items: np.ndarray) -> None:
         self.held.append(items)
         self.size += len(items)
-        if self.size > 4_000_000:
+        if self.size > 1_500_000:
             self.settle()
 
     def settle(self) -> None:
@@ -133,6 +133,7 @@ class _FrequentHere:
 def _signatures(least: int):
     names = ["doc_id", "n", "s1", "s2", "shingle", "count"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = _FrequentHere(least)
         seen: set[int] = set()
@@ -240,6 +241,7 @@ def _prefixes(order, n_buckets: int, percent: int = PERCENT):
         rows = [(k, short[at[cuts[k] : cuts[k + 1]]].tobytes(), table, sizes, place[at[cuts[k] : cuts[k + 1]]].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
         return _blobs(rows)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         held, size, seen = [], 0, set()
@@ -278,6 +280,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_partner(n_buckets: int, unpack: bool, percent: int = PERCENT):
     """Shingles of a set that a set of a close size holds too, dealt by set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, nodes, sizes, _ in _by_bucket(_unpacked(batches) if unpack else batches):
             order = np.argsort(tokens, kind="stable")
@@ -298,6 +301,7 @@ def _with_partner(n_buckets: int, unpack: bool, percent: int = PERCENT):
 def _with_enough(n_buckets: int, percent: int = PERCENT):
     """Sets that share as many shingles of their prefix as any link of theirs needs, dealt by shingle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, nodes, sizes, _ in _by_bucket(batches):
             at = np.argsort(nodes, kind="stable")
@@ -311,6 +315,7 @@ def _with_enough(n_buckets: int, percent: int = PERCENT):
     return run
 
 
+@lean
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges between sets that follow each other in (shingle, size) order with close sizes."""
     forest = Forest()
@@ -497,6 +502,7 @@ def join_cluster(sets: list[np.ndarray], percent: int = PERCENT, hubs: int = 32)
 
 
 def _links(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         now = None
@@ -549,6 +555,7 @@ def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _filter_bits(n_bits: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n_bits, dtype=bool)
         for batch in batches:
@@ -565,6 +572,7 @@ def _places(nodes: np.ndarray, n_bits: int) -> np.ndarray:
 def _clustered(filter_, n_bits: int):
     """Texts of sets that the filter holds, each set once per task, compressed."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(filter_.value, dtype=np.uint8)
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -642,6 +650,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def _all_shingles(n_buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("s1").to_pylist()
@@ -658,6 +667,7 @@ def _all_shingles(n_buckets: int):
 def _counted(n_buckets: int):
     """Shingles that two sets or more hold, with their number of sets, dealt by set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, nodes, sizes, _ in _by_bucket(batches):
             at = np.lexsort((nodes, tokens))
@@ -675,6 +685,7 @@ def _counted(n_buckets: int):
 def _exact_prefixes(n_buckets: int):
     """Each set's prefix in the order of exact numbers of sets, dealt by shingle; shingles of one set come first and match nothing."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, nodes, sizes, counts in _by_bucket(batches):
             at = np.lexsort((tokens, counts, nodes))
