@@ -281,7 +281,8 @@ def extract(pages: DataFrame) -> DataFrame:
     n = 4 * width
     some = pages.select("url").withColumns({"host": host, "path": path}).select(key.alias("key"))
     keys = sorted(r.key for r in some.orderBy(F.xxhash64("key"), "key").limit(16 * n).collect())  # a bounded number of URLs
-    bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
+    n = min(n, len(keys) // 16)  # a small table has few buckets, so that pages have neighbours
+    bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)})
     rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("version"))
     kind = rows.schema["page_id"].dataType.simpleString()
     located = rows.withColumns({"host": host, "path": path}).withColumn("bucket", range_bucket(key, bounds))

@@ -84,10 +84,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     repeats = np.bincount(row, (counts > 2) * counts, minlength=n_rows)
     top = np.zeros(n_rows)
     np.maximum.at(top, row, counts)
-    pairs = words[:-1] * np.uint64(3) + words[1:] if len(words) > 1 else words[:0]
-    pair_row = row_of[:-1] if len(words) > 1 else row_of
-    pair_keys = np.unique((pair_row << np.uint64(40)) | (pairs >> np.uint64(24)))
-    n_pairs = np.bincount((pair_keys >> np.uint64(40)).astype(np.int64), minlength=n_rows)[:n_rows]
+    inside = row_of[:-1] == row_of[1:]
+    pairs = (words[:-1] * np.uint64(3) + words[1:])[inside]
+    pair_keys = np.unique((row_of[:-1][inside] << np.uint64(40)) | (pairs >> np.uint64(24)))
+    n_pairs = np.bincount((pair_keys >> np.uint64(40)).astype(np.int64), minlength=n_rows)
     least = np.maximum(n_words, 1)
     shares = stats[:, :N_CLASSES] / np.maximum(sizes, 1)[:, None]
     own = np.stack(

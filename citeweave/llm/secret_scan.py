@@ -60,11 +60,6 @@ def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     total, outside_hex, outside_upper = 0.0, 0, 0
     spans: list[tuple[int, int]] = []
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        total += _TERM[n + 1] - _TERM[n]
-        counts[c] = n + 1
-        outside_hex += not_hex[i]
-        outside_upper += not_upper[i]
         if i >= window:
             old = text[i - window]
             n = counts[old]
@@ -72,6 +67,11 @@ def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
             counts[old] = n - 1
             outside_hex -= not_hex[i - window]
             outside_upper -= not_upper[i - window]
+        n = counts.get(c, 0)
+        total += _TERM[n + 1] - _TERM[n]
+        counts[c] = n + 1
+        outside_hex += not_hex[i]
+        outside_upper += not_upper[i]
         if i >= window - 1:
             bits = math.log2(window) - total / window
             level = CLASSES[0][2] if not outside_hex else CLASSES[1][2] if not outside_upper else CLASSES[2][2]
