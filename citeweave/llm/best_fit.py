@@ -23,55 +23,58 @@ table gives an empty result.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from citeweave.llm.common import lean, materialize, text_array
+from citeweave.llm.common import bounded_batches, lean, materialize, text_array
+
+try:
+    import public_tokenizers
+    import tiktoken
+except ImportError:  # ids then come from the tokenizer file alone
+    tiktoken = None
 
 CAPACITY = 1024
 END_ID = 2
 DOCS_PER_BUCKET = 4096
 
-_encoders: dict[str, object] = {}
+PROBE = "It's 12 o'clock,\n\n  élan  vital\tand 東京 \U0001f600 <|endoftext|>  x "
+
+_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
-def encoder(path: str):
-    """Ids of texts by a byte-level BPE file: ``tokenizers`` for .json, or the same vocabulary through its ranks.
+def ranks_beside(path: str) -> str:
+    return os.path.splitext(path)[0] + ".tiktoken"
 
-    A ``.tiktoken`` file of ranks beside the .json gives equal ids several times faster; it
-    is used if it is there and agrees with the .json on a probe.
-    """
-    if path not in _encoders:
-        import os
 
-        from tokenizers import Tokenizer
+def _load(path: str, fast: bool) -> Callable[[str], list[int]]:
+    if fast:
+        with open(ranks_beside(path), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
 
-        def slow(text: str) -> list[int]:
-            return whole.encode(text, add_special_tokens=False).ids
+def encoder(path: str, fast: bool) -> Callable[[str], list[int]]:
+    """Ids of texts by the tokenizer file, or by its ranks; kept for a worker's later tasks."""
+    if (path, fast) not in _encoders:
+        _encoders[path, fast] = _load(path, fast)
+    return _encoders[path, fast]
 
-        ranks_path = os.path.splitext(path)[0] + ".tiktoken"
-        chosen = slow
-        if os.path.exists(ranks_path):
-            import public_tokenizers
-            import tiktoken
 
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            probe = "It's 12 o'clock,\n\n  élan  vital\tand 東京 \U0001f600 <|endoftext|>  x "
-            if fast(probe) == slow(probe):
-                chosen = fast
-        _encoders[path] = chosen
-    return _encoders[path]
+def has_equal_ranks(path: str) -> bool:
+    """A file of ranks lies beside the tokenizer file and gives equal ids on a probe (it is several times faster)."""
+    return tiktoken is not None and os.path.exists(ranks_beside(path)) and _load(path, True)(PROBE) == _load(path, False)(PROBE)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -81,10 +84,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, fast: bool, capacity: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, fast)
         for batch in batches:
             ids_of = batch.column("doc_id")
             row, piece, start, length, crc = [], [], [], [], []
@@ -227,8 +230,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple],
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    cut_up = documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    cut_up = documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, has_equal_ranks(tokenizer), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = materialize(cut_up, "pack-pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs, _, _ = plan(counts, capacity)
@@ -272,10 +276,11 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
 def sequences(documents: DataFrame, packed: DataFrame, tokenizer: str) -> DataFrame:
     """sequence_id, ids array<int>: the packed sequences themselves; doc_id must be unique for this."""
+    fast = has_equal_ranks(tokenizer)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, fast)
         for batch in batches:
             whole = [encode(t) + [END_ID] for t in text_array(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.list_(pa.int32()))], names=["doc_id", "ids"])

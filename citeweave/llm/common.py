@@ -52,6 +52,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts, where the session still has Spark's default.
+BATCH_ROWS = 2000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches from the default 10000 rows, which are tens of MB of long texts and several times that in buffers.
+
+    A size that the session chose itself stays.
+    """
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -143,21 +157,22 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows; a run exceeds ``limit`` only if it is one row."""
-    column = text_array(column)
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    data = column.buffers()[2]
-    whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
-        j = min(j, n)
-        yield i, j, whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows; a run exceeds ``limit`` only if it is one row.
+
+    The column is converted ``rows`` at a time, so a batch of long texts is never held twice.
+    """
+    for base in range(0, len(column), rows):
+        part = text_array(column.slice(base, rows))
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + n + 1]
+        data = part.buffers()[2]
+        whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+        i = 0
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
+            yield base + i, base + j, whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            i = j
 
 
 def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import _BYTE, lean, mix, range_bucket, shuffle_width, span_hashes, text_array, text_chunks
+from citeweave.llm.common import bounded_batches, _BYTE, lean, mix, range_bucket, shuffle_width, span_hashes, text_array, text_chunks
 
 KEEP = 64
 LEVELS = (2, 3)
@@ -221,6 +221,7 @@ def _pairs(alone: bool):
 def with_edits(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     width = shuffle_width(spark)

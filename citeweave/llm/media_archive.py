@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from citeweave.llm.common import lean, text_array
+from citeweave.llm.common import bounded_batches, lean, text_array
 
 WIDTH = 64
 RANGE_BYTES = 8 << 20
@@ -144,6 +144,7 @@ def _write_task(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def write_archives(documents: DataFrame, folder: str) -> int:
     """Write the archives and their manifest (a line per archive); the number of members."""
+    bounded_batches(documents.sparkSession)
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     rows = documents.select("doc_id", "text").mapInArrow(partial(_write_task, folder), "name string, bytes long, members long").collect()
@@ -261,6 +262,7 @@ class MediaArchive(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    bounded_batches(spark)
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").options(**options).load(folder)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import lean, materialize, range_bucket, shuffle_width, text_array
+from citeweave.llm.common import bounded_batches, lean, materialize, range_bucket, shuffle_width, text_array
 
 # ------------------------------------------------------------------ lines of a page
 
@@ -275,6 +275,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     host, path = url_key(F.col("url"))
     key = F.concat_ws("\u0001", "host", "path")
     width = shuffle_width(spark)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import lean, text_chunks, word_hashes
+from citeweave.llm.common import bounded_batches, lean, text_chunks, word_hashes
 
 WORDS = 1 << 13
 RANK = 6
@@ -179,6 +179,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) -> Model:
     """Fit on at most ``limit`` labelled documents outside the held-out fold."""
+    bounded_batches(documents.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality").limit(limit)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` pairs of numbers
@@ -191,6 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) ->
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of ``documents`` with score (0 to 1) and predicted (0 or 1)."""
+    bounded_batches(documents.sparkSession)
     names = [c for c in documents.columns if c not in ("score", "predicted")]
     source = documents.select(*names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + ["score double, predicted int"])

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeweave.llm.common import lean, text_array
+from citeweave.llm.common import bounded_batches, lean, text_array
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -138,6 +138,7 @@ _DDL = "n_assign long, n_access long, n_hex long, base_sha256 string, spans stri
 
 def scan_documents(documents: DataFrame, redacted: bool = False) -> DataFrame:
     """The columns of ``documents`` with n_assign, n_access, n_hex, base_sha256, spans; ``redacted`` masks the text's spans."""
+    bounded_batches(documents.sparkSession)
     names = [c for c in documents.columns if c not in dict(_RESULT)]
     source = documents.select(*names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields] + [_DDL])

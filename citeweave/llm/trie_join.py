@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import lean, materialize, mix, text_chunks, word_hashes
+from citeweave.llm.common import bounded_batches, lean, materialize, mix, text_chunks, word_hashes
 from citeweave.llm.components import components
 
 WORDS = 5
@@ -168,7 +168,7 @@ class Order:
     def __init__(self, items: np.ndarray, counts: np.ndarray):
         items = items.view(np.uint64)
         by_rank = np.lexsort((items, counts))
-        rank = np.empty(len(items), dtype=np.int64)
+        rank = np.empty(len(items), dtype=np.int32)
         rank[by_rank] = np.arange(len(items))
         at = np.argsort(items)
         self.items, self.rank = items[at], rank[at]
@@ -348,7 +348,9 @@ def candidates(documents: DataFrame, signatures: DataFrame) -> DataFrame:
     for _ in range(2):  # sets that drop out may leave others without partners
         partners = _dealt(rows, n).mapInArrow(_with_partner(n, unpack), _BLOBS)
         rows, unpack = _dealt(partners, n).mapInArrow(_with_enough(n), _BLOBS), False
-    return components(_dealt(rows, n).mapInArrow(_edges, "u long, v long"), "trie-candidates")
+    found = components(_dealt(rows, n).mapInArrow(_edges, "u long, v long"), "trie-candidates")
+    order.unpersist()
+    return found
 
 
 # ------------------------------------------------------------------ 3. links
@@ -586,7 +588,7 @@ def _clustered(filter_, n_bits: int):
                     place = int(_places(np.array([node]), n_bits)[0])
                     if bits[place >> 3] >> (7 - (place & 7)) & 1 and node not in seen:
                         seen.add(node)
-                        rows.append((node, len(items), pack(texts[k].as_py().encode("utf-8", "surrogatepass"))))
+                        rows.append((node, len(items), pack((texts[k].as_py() or "").encode("utf-8", "surrogatepass"))))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["s1", "n", "packed"])
 
@@ -607,8 +609,11 @@ def clustered_texts(documents: DataFrame, clusters: DataFrame) -> DataFrame:
     merged = np.zeros(n_bits // 8, dtype=np.uint8)
     for r in parts:
         merged |= np.frombuffer(r.bits, dtype=np.uint8)
-    found = documents.where("doc_id is not null").select("text").mapInArrow(_clustered(spark.sparkContext.broadcast(merged.tobytes()), n_bits), "s1 long, n long, packed binary")
-    return materialize(found.join(cluster_of, "s1"), "trie-texts")
+    bits = spark.sparkContext.broadcast(merged.tobytes())
+    found = documents.where("doc_id is not null").select("text").mapInArrow(_clustered(bits, n_bits), "s1 long, n long, packed binary")
+    texts = materialize(found.join(cluster_of, "s1"), "trie-texts")
+    bits.unpersist()
+    return texts
 
 
 # ------------------------------------------------------------------ 3. refined clusters
@@ -724,6 +729,7 @@ def refined(texts: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) of every document."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.mapInArrow(_signatures(LOCAL_LEAST), f"doc_id {kind}, n long, s1 long, s2 long, shingle long, count long")
