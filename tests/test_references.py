@@ -107,7 +107,7 @@ def test_styles(spark, raws, profile, heading, hint, expected):
 
 def test_bibliography(spark):
     line = "Smith, J. (2001). A title of things that is rather long indeed so that it counts. Journal of X, 1(2), 3-4."
-    pages = ["Intro\nReferences\nare below", f"Prose\nReferences:\nKeep calm\n{line}\n{line}\n17", f"{line}\n18", "Appendix A\nx"]
+    pages = ["Intro\nReferences\nare below", f"Prose\nReferences:\n{line}\n{line}\n17", f"{line}\n18", "Appendix A\nx"]
     units = spark.createDataFrame([("d", k, "page", None, t, "normal") for k, t in enumerate(pages)] + [("e", 0, "page", None, "nothing here", "normal")], "doc_id string, unit_index int, kind string, label string, text string, layout string")
     found = {r.doc_id: r for r in bibliography.detect(units).collect()}
     assert (found["d"].heading_unit, found["d"].end_unit, found["d"].text) == (1, 2, f"{line}\n{line}\n\n{line}")
