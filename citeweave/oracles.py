@@ -323,13 +323,13 @@ select c.o as ref_pos, stop_at, stop_reason, string_agg('s' || steps.n, '|' orde
 
 ORACLES["top_two"] = """
 with r as (select l_orderkey, round(l_quantity / 50, 4) as s, l_partkey || ':' || l_linenumber as id, l_suppkey as doi, row_number() over (partition by l_orderkey order by round(l_quantity / 50, 4) desc, l_partkey || ':' || l_linenumber desc) as n from lineitem),
-p as (select a.l_orderkey, a.id as best, a.s as s1, b.s as s2, b.s is not null and b.s >= 0.35 and a.doi <> b.doi as ok from r a left join r b on b.l_orderkey = a.l_orderkey and b.n = 2 where a.n = 1),
+p as (select a.l_orderkey, a.id as best, a.s as s1, b.s as s2, b.s is not null and b.s >= 0.35 and a.doi <> b.doi and a.id <> b.id as ok from r a left join r b on b.l_orderkey = a.l_orderkey and b.n = 2 where a.n = 1),
 g as (select *, case when ok then round(abs(s1 - s2), 4) end as gap from p)
 select l_orderkey, case when ok then 2 else 1 end as n_top, best, gap, cast(case when gap is null or gap >= 0.12 then 0.0 when gap >= 0.08 then 0.04 when gap >= 0.04 then 0.10 else 0.18 end as double) as penalty from g"""
 
 # ------------------------------------------------------------------ lists, styles, reports
 
-ORACLES["segment_numbered"] = f"with {BIB} select c_custkey as doc_id, cast(row_number() over (partition by c_custkey order by k) - 1 as int) as ref_pos, raw_reference, cast(null as varchar) as error_code from bib where c_custkey in (select c_custkey from bib group by 1 having count(*) >= 2)"
+ORACLES["segment_numbered"] = f"with {BIB} select c_custkey as doc_id, cast(row_number() over (partition by c_custkey order by k) - 1 as int) as ref_pos, case when count(*) over (partition by c_custkey) >= 2 then raw_reference else '1. ' || raw_reference end as raw_reference, cast(null as varchar) as error_code from bib"
 ORACLES["marker_modes"] = f"""
 with {BIB}, n as (select c_custkey, count(*) as n from bib group by 1)
 select c_custkey as doc_id, n as numbered, 0 as bulleted, case when n >= 2 then 'numbered' end as marker_mode from n union all select -c_custkey - 1, 0, 0, null from n"""

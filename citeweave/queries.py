@@ -15,7 +15,7 @@ from citeweave.functions import similarity as S
 from citeweave.functions import text as T
 from citeweave.operators import bibliography, cascade, classify, evaluate, matching, parse, prepare, recover, render, report, search, segment, style
 from citeweave.plans import resolve
-from citeweave.session import stage
+from citeweave.session import spread, stage
 from citeweave.sources import catalog as C
 from citeweave.sources import dumps, generated
 from citeweave.streaming import limits
@@ -245,7 +245,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generated.citations(spark, sf_dir)
     refs = rows.select(F.col("c_custkey").alias("doc_id"), F.col("k").alias("ref_pos"), "raw_reference", "variant")
-    return stage(prepare.prepare(classify.classify(parse.parse_references(refs))), "query-references")
+    return stage(prepare.prepare(classify.classify(parse.parse_references(spread(refs, "doc_id", "ref_pos")))), "query-references")
 
 
 @query
