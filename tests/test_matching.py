@@ -1,5 +1,6 @@
 """Catalog load, index, search, cascade, evaluation, report and limits."""
 
+import gzip
 import json
 import math
 import sqlite3
@@ -213,3 +214,34 @@ def test_suspicious(spark):
     values = [("exact", "strong", "strong", "near", "unknown", "exact", True), ("exact", "strong", "strong", "near", "yes", "exact", False), ("exact", "partial", "strong", "exact", "yes", "exact", True)]
     df = spark.createDataFrame(values, "doi string, title string, author string, year string, container string, metadata string, x boolean")
     assert all(r.s == r.x for r in df.select(matching.suspicious(F.struct(*df.columns[:6])).alias("s"), "x").collect())
+
+
+def test_documents_to_report(spark, mock, tmp_path):
+    from citeweave.sources import documents
+    from tests.test_references import _docx
+
+    lines = [
+        "Smith, A. (1996). Advances in climate policy volume 1. Review of Mock Studies, 2(2), 3-12. https://doi.org/10.5555/mock.journal.0001",
+        "Garcia, S. (1997). Advances in urban planning volume 2. Annals of Test Data, 3(3), 6-15.",
+        "Nobody, X. (2001). Entirely unknown matters of zebra stripes and their uses. Journal of Nothing, 1(1), 1-2.",
+    ]
+    (tmp_path / "a.docx").write_bytes(_docx([("Intro", "H1"), ("Words.", None), ("References", "H1"), *((x, None) for x in lines)]))
+    units = documents.extract(documents.validate(documents.read_files(spark, str(tmp_path))))
+    found = resolve.references_of_lists(resolve.lists_of_documents(stage(units, "test-units")))
+    rows = {r.ref_pos: r for r in resolve.resolve(found.select("doc_id", "ref_pos", "raw_reference", "style"), mock).collect()}
+    assert [rows[k].accepted_record_id for k in (0, 1)] == ["search_journal:mock.journal.0001", "search_journal:mock.journal.0002"]
+    assert rows[2].final_status == "needs_review" and {r.style for r in found.collect()} == {"apa7_en"}
+
+
+def test_stored_tables(spark, mock, tmp_path):
+    with gzip.open(tmp_path / "x.jsonl.gz", "wt") as out:
+        out.write("\n".join(map(json.dumps, CROSSREF)) + "\n\n")
+    lines = dumps.read_lines(spark, str(tmp_path), ".jsonl.gz")
+    assert lines.count() == len(CROSSREF) and lines.first().shard == "x.jsonl.gz"
+    C.write_catalog(mock.catalog, str(tmp_path / "cat"))
+    again = spark.read.parquet(str(tmp_path / "cat"))
+    assert C.missing_columns(again) == [] and again.where("source_table = 'search_book'").count() == 25
+    C.write_index(mock.index, "stored_terms", 4)
+    assert spark.table("stored_terms").count() == mock.index.count()
+    state = spark.createDataFrame([(1, 100), (2, 900)], "k int, s long").withColumn("updated_at", F.timestamp_seconds("s"))
+    assert [r.k for r in limits.prune(state, F.timestamp_seconds(F.lit(1000)), 200).collect()] == [2]
