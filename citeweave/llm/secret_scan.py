@@ -6,7 +6,8 @@ over each, its counts of characters kept up to date by one addition and one remo
 step, and the window's entropy is compared with the threshold of the narrowest character
 class that holds the window (hexadecimal, upper case and digits, base64). Windows above it
 are joined. An allow list takes back candidates that are known not to be secrets: UUIDs,
-plain words, URLs and paths, placeholders; and what a base span covers is not said twice.
+plain words, URLs and paths, placeholders; and what a base span covers is not said twice: of an entropy span, only the pieces outside
+the base spans are kept, however short, as they are part of the same secret.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Each document
 is scanned whole, on its own: no shuffle, and a task holds one Arrow batch. Rows that repeat
@@ -104,6 +105,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The pieces of start:end that no base span covers; ``base`` in order."""
+    pieces = []
+    for s, _, e in base:
+        if s >= end:
+            break
+        if s > start:
+            pieces.append((start, s))
+        start = max(start, e)
+    if start < end:
+        pieces.append((start, end))
+    return pieces
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with those of the entropy scan."""
     base = base_spans(text)
@@ -112,9 +127,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         if allowed(m.group()):
             continue
         for low, high in _entropy_windows(m.group()):
-            start, end = m.start() + low, m.start() + high
-            if not any(s < end and start < e for s, _, e in base):
-                more.append((start, 3, end))
+            more += [(s, 3, e) for s, e in _uncovered(m.start() + low, m.start() + high, base)]
     return base, sorted(base + more)
 
 
