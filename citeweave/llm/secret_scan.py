@@ -5,8 +5,9 @@ spans of kind ``entropy``: candidate strings are runs of token characters; a win
 over each, its counts of characters kept up to date by one addition and one removal per
 step, and the window's entropy is compared with the threshold of the narrowest character
 class that holds the window (hexadecimal, upper case and digits, base64). Windows above it
-are joined. An allow list takes back candidates that are known not to be secrets: UUIDs,
-plain words, URLs and paths, placeholders; and what a base span covers is not said twice: of an entropy span, only the pieces outside
+are joined. An allow list takes back joined spans that are known not to be secrets: UUIDs,
+numbers, words, paths of words, and placeholders if nothing but such stands beside them. Words
+are told from random letters by their pairs of letters, not by lacking digits; and what a base span covers is not said twice: of an entropy span, only the pieces outside
 the base spans are kept, however short, as they are part of the same secret.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Each document
@@ -42,13 +43,21 @@ CLASSES = (
     ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"), 3.4),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.7),
 )
-ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"[^0-9]*|[0-9_/=+-]*"),  # words without a digit; numbers
-    re.compile(r"[A-Za-z]*[a-z][A-Za-z]*[0-9]{0,4}"),  # a word with a number
-    re.compile(r"(?i).*(example|sample|placeholder|your[_-]?|x{6,}|0{8,}|1234567).*"),
-    re.compile(r"[A-Za-z]+([/_-][A-Za-z]+)*([/_-][0-9]{1,8})?/?"),  # paths and names of words
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+NUMBERS = re.compile(r"[0-9_/=+-]*")
+#: Strings without digits, a word with a number, paths and names of words; their letters must look like words.
+NAMES = (
+    re.compile(r"[^0-9]*"),
+    re.compile(r"[A-Za-z]*[a-z][A-Za-z]*[0-9]{0,4}"),
+    re.compile(r"[A-Za-z]+([/_-][A-Za-z]+)*([/_-][0-9]{1,8})?/?"),
 )
+PLACEHOLDER = re.compile(r"example|sample|placeholder|your[_-]?|x{6,}|0{8,}|1234567(?:89?0?)?", re.IGNORECASE)
+#: Pairs of consonants that words of European languages have; other pairs of consonants are rare.
+_PAIRS = frozenset(
+    "bb bj bl br bs bt cc ch ck cl cr cs ct dd dg dl dm dn dr ds dt dv dw ff fl fr fs ft gg gh gl gm gn gr gs gt hl hm hn hr hs ht hw kk kl kn kr ks kt lb lc ld lf lg lh lk ll lm ln lp lr ls lt lv lw mb mf ml mm mn mp mr ms mt nb nc nd nf ng nh nj nk nl nm nn np nq nr ns nt nv nw nz pf ph pl pn pp pr ps pt rb rc rd rf rg rh rj rk rl rm rn rp rq rr rs rt rv rw rz sb sc sd sf sg sh sk sl sm sn sp sq sr ss st sv sw tb tc tf th tl tm tn tp tr ts tt tw tz wh wl wn wr ws xc xp xt zt zw zz".split()
+)
+#: Most rare pairs, and rare pairs and capitals after a small letter together, in a window of letters like words (random letters: about 7 and 10).
+RARE, BREAKS = 2, 5
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -85,8 +94,28 @@ def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     return spans
 
 
-def allowed(candidate: str) -> bool:
-    return any(rule.fullmatch(candidate) for rule in ALLOW)
+def word_like(text: str, window: int = WINDOW) -> bool:
+    """Whether in each window few neighbouring letters are pairs that words lack."""
+    rare, breaks = [0], [0]  # sums up to each pair
+    for a, b in zip(text, text[1:], strict=False):
+        letters = a.isalpha() and b.isalpha()
+        camel = letters and a.islower() and b.isupper()
+        pair = (a + b).lower()
+        odd = letters and not camel and pair not in _PAIRS and not set(pair) & set("aeiouy")
+        rare.append(rare[-1] + odd)
+        breaks.append(breaks[-1] + (odd or camel))
+    last = len(rare) - 1
+    width = min(window - 1, last)
+    return all(rare[k + width] - rare[k] <= RARE and breaks[k + width] - breaks[k] <= BREAKS for k in range(last - width + 1))
+
+
+def _plain(text: str) -> bool:
+    return bool(NUMBERS.fullmatch(text)) or (any(rule.fullmatch(text) for rule in NAMES) and word_like(text))
+
+
+def allowed(span: str) -> bool:
+    """Known not to be a secret: a UUID, numbers, words; or a placeholder with nothing else beside it."""
+    return bool(UUID.fullmatch(span)) or _plain(span) or (PLACEHOLDER.search(span) is not None and _plain(PLACEHOLDER.sub("-", span)))
 
 
 def _has_keyword(text: str) -> bool:
@@ -124,9 +153,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        if allowed(m.group()):
+        if UUID.fullmatch(m.group()):
             continue
         for low, high in _entropy_windows(m.group()):
+            if allowed(m.group()[low:high]):
+                continue
             more += [(s, 3, e) for s, e in _uncovered(m.start() + low, m.start() + high, base)]
     return base, sorted(base + more)
 
