@@ -6,12 +6,14 @@ role, class or id) are boilerplate. Pages are then paired with the page whose UR
 nearest on the same host, the two pages' lines are aligned by longest common subsequence, and
 lines that both have are template text: they are deleted. A line inside an article element is
 never deleted for being shared, since articles quote each other; differencing decides about
-the pages that do not mark their article. A neighbour that shares most of a page's text is a
-copy, not a template, and the other neighbour is asked instead.
+the pages that do not mark their article. Pages in a row with nearly the same text are copies,
+not a template: each of them looks on to the nearest page before and after the row. If the
+nearer of the two shares more than half of the page's text, the one that shares less decides.
 
 Pages travel as hashes of their lines, sorted by (host, path with padded numbers) in buckets
 cut at bounds from the keys with the smallest hashes; a busy host spans many buckets, and a
-task holds three pages at a time. The first and last page of a bucket have one neighbour.
+task holds one row of copies at a time (equal ones once). The pages at the edges of a bucket
+are sent along to the buckets beside it, so that no page lacks a neighbour for a bound.
 Which lines to delete comes back for the pages that lose any; the pages are read a second
 time for their text, so that html is not shuffled (unless most pages lose lines).
 
@@ -177,18 +179,37 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
-def template_lines(lines: list[int], kinds: bytes, sizes: list[int], neighbours: list[list[int]], copy_share: float = 0.5) -> list[int]:
+#: Two pages are copies if this share of the characters of each is in lines of the other.
+COPY_SHARE = 0.95
+
+
+def copies(one: list[int], one_sizes: list[int], other: list[int], other_sizes: list[int]) -> bool:
+    """Whether two pages' lines (boilerplate left out) are nearly the same text."""
+    if one == other:
+        return True
+    least, most = sorted((sum(one_sizes), sum(other_sizes)))
+    if least <= COPY_SHARE * most:
+        return False
+    shared = shared_lines(one, other)
+    return sum(one_sizes[k] for k in shared) > COPY_SHARE * most
+
+
+def template_lines(lines: list[int], kinds: bytes, sizes: list[int], neighbours: list[list[int]], copy_share: float = COPY_SHARE) -> list[int]:
     """Positions of the lines to delete; ``neighbours`` are the lines of near pages, the nearest first."""
     kept = [k for k, kind in enumerate(kinds) if kind == 1]
     total = sum(sizes[k] for k in kept)
+    found = []
     for other in neighbours:
         shared = shared_lines(lines, other)
         gone = [k for k in kept if k in shared]
         if 2 in kinds:
             return []  # the article is marked: no other line is text anyway
-        if sum(sizes[k] for k in gone) <= copy_share * total:
+        size = sum(sizes[k] for k in gone)
+        if 2 * size <= total:
             return gone
-    return []
+        if size <= copy_share * total:
+            found.append((size, len(found), gone))
+    return min(found)[2] if found else []
 
 
 def main_text(lines: list[tuple[str, int]], deleted: set[int] = frozenset()) -> str:
@@ -208,7 +229,10 @@ def url_key(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(padded, F.lit(""))
 
 
-_LINES = "page_id {}, version long, host string, path string, bucket int, lines binary, kinds binary, sizes binary"
+_LINES = "page_id {}, version long, host string, path string, bucket int, side int, lines binary, kinds binary, sizes binary"
+_NAMES = ("page_id", "version", "host", "path", "bucket", "side", "lines", "kinds", "sizes")
+#: Order of a bucket's rows: pages of buckets before (side 0), its own (1), pages of buckets after (2).
+_ORDER = ("bucket", "side", "host", "path", "page_id", "version")
 
 
 @lean
@@ -220,44 +244,154 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t, _ in lines))
             kinds.append(bytes(k for _, k in lines))
             sizes.append(np.array([len(t) for t, _ in lines], dtype=np.int32).tobytes())
-        columns = [batch.column(c) for c in ("page_id", "version", "host", "path", "bucket")]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes))], names=["page_id", "version", "host", "path", "bucket", "lines", "kinds", "sizes"])
+        columns = [batch.column(c) for c in _NAMES[:6]]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes))], names=list(_NAMES))
+
+
+class _Page:
+    """A row of _NAMES; its lines are decoded while its run is compared."""
+
+    def __init__(self, row: tuple):
+        self.row = row
+        self.page_id, self.version, self.host, self.path, self.bucket, self.side = row[:6]
+
+    def lines(self) -> list[int]:
+        return np.frombuffer(self.row[6], dtype=np.int64).tolist()
+
+    def sizes(self) -> list[int]:
+        return np.frombuffer(self.row[8], dtype=np.int32).tolist()
+
+    def content(self) -> tuple[list[int], list[int]]:
+        kinds = self.row[7]
+        return [h for h, k in zip(self.lines(), kinds, strict=True) if k], [n for n, k in zip(self.sizes(), kinds, strict=True) if k]
+
+
+def _near(one: _Page, other: _Page | None) -> bool:
+    return other is not None and one.host != "" and other.host == one.host and other.bucket == one.bucket
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[_Page] | pa.DataType]:
+    """The type of page_id once a batch, and rows of pages of one bucket and host that are copies of their first."""
+    run: list[_Page] = []
+    first: tuple[list[int], list[int]] = ([], [])
+    for batch in batches:
+        yield batch.column("page_id").type
+        for row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+            page = _Page(row)
+            if run and _near(run[0], page):
+                if row[6:] == run[0].row[6:]:
+                    page.row = (*row[:6], *run[0].row[6:])  # held once
+                    run.append(page)
+                    continue
+                own = page.content()
+                if copies(*first, *own):
+                    run.append(page)
+                    continue
+            if run:
+                yield run
+            run, first = [page], page.content()
+    if run:
+        yield run
+
+
+@lean
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket the first pages of the first two runs of its first host (side 2: they go to buckets before), and the last pages of the last two runs of its last host (side 0)."""
+    kept: list[tuple[_Page, _Page]] = []  # first and last page of runs of one bucket: two of the first host, two of the last
+    hosts = 0
+    ids: pa.DataType | None = None
+
+    def rows() -> Iterator[tuple]:
+        heads = [r for r in kept[:2] if r[0].host == kept[0][0].host]
+        tails = [r for r in kept[::-1][:2] if r[0].host == kept[-1][0].host]
+        whole = len(kept) == 1 and hosts == 1
+        for side, pages in ((2, [r[0] for r in heads]), (0, [r[1] for r in tails])):
+            for page in pages:
+                yield (*page.row[:5], side, *page.row[6:], whole)
+
+    def drain(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 10
+        types = (ids, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[*_NAMES, "whole"])
+
+    for run in _runs(batches):
+        if isinstance(run, pa.DataType):
+            ids = run
+            continue
+        pair = (run[0], run[-1])
+        if kept and kept[0][0].bucket != pair[0].bucket:
+            yield drain(list(rows()))
+            kept, hosts = [], 0
+        hosts += not kept or kept[-1][0].host != pair[0].host
+        kept.append(pair)
+        if len(kept) > 4:
+            del kept[2]
+    if kept:
+        yield drain(list(rows()))
+
+
+def _deal_edges(edges: list) -> list[tuple[int, int, int, int]]:
+    """(bucket, side, version, bucket that it is sent to) for rows of _edges without lines: on to the first bucket that is more than one run of the host."""
+    sent = set()
+    for side in (0, 2):
+        by: dict[int, list] = {}
+        for e in edges:
+            if e.host != "":
+                by.setdefault(e.bucket, [[], []])[e.side != side].append(e)
+        order = sorted(by, reverse=side == 0)
+        for k, bucket in enumerate(order):
+            hosts = {e.host for e in by[bucket][1]}  # of this bucket's end that meets the others
+            if not hosts:
+                continue
+            seen = set()
+            for other in order[k + 1 :]:
+                given = [e for e in by[other][0] if e.host in hosts]
+                sent.update((e.bucket, e.side, e.version, bucket) for e in given if e.content not in seen)
+                seen.update(e.content for e in given)
+                if not given or not given[0].whole:
+                    break
+    return sorted(sent)
 
 
 @lean
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages arrive in order; a page is decided once its next is known. Pages that lose no line have no row."""
-    window: list[tuple] = []  # the page before, the page to decide
+    """Pages arrive in order; a run of copies is decided once the page after it is known. Pages that lose no line have no row."""
+    before: _Page | None = None  # the last page of the run before
+    held: list[_Page] = []
     ids: pa.DataType | None = None
     out: list[tuple] = []
-    names = ("page_id", "version", "host", "path", "bucket", "lines", "kinds", "sizes")
-
-    def near(page: tuple, other: tuple | None) -> bool:
-        return other is not None and page[2] != "" and other[2] == page[2] and other[4] == page[4]
 
-    def decide(before: tuple | None, page: tuple, after: tuple | None) -> None:
-        found = [(-len(os.path.commonprefix([page[3], o[3]])), k, o[5]) for k, o in enumerate((before, after)) if near(page, o)]
-        gone = template_lines(page[5], page[6], page[7], [lines for _, _, lines in sorted(found, key=lambda f: f[:2])])
-        if gone:
-            out.append((page[0], page[1], np.array(gone, dtype=np.int32).tobytes()))
+    def decide(run: list[_Page], after: _Page | None) -> None:
+        known: dict[tuple, list[int]] = {}
+        beside = [p for p in (before, after) if _near(run[0], p)]
+        others = [p.lines() for p in beside]
+        for page in run:
+            if page.side != 1 or not beside:
+                continue
+            nearest = sorted(range(len(beside)), key=lambda k: (-len(os.path.commonprefix([page.path, beside[k].path])), k))
+            key = (id(page.row[6]), *nearest)
+            if key not in known:
+                known[key] = template_lines(page.lines(), page.row[7], page.sizes(), [others[k] for k in nearest])
+            if known[key]:
+                out.append((page.page_id, page.version, np.array(known[key], dtype=np.int32).tobytes()))
 
     def drain() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 3
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (ids, pa.int64(), pa.binary()), strict=True)], names=["page_id", "version", "deleted"])
 
-    for batch in batches:
-        ids = batch.column("page_id").type
-        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            window.append((*row[:5], np.frombuffer(row[5], dtype=np.int64).tolist(), row[6], np.frombuffer(row[7], dtype=np.int32).tolist()))
-            if len(window) == 2:
-                decide(None, window[0], window[1])
-            elif len(window) == 3:
-                decide(*window)
-                window.pop(0)
-        yield drain()
-    if window:
-        decide(window[-2] if len(window) > 1 else None, window[-1], None)
+    for run in _runs(batches):
+        if isinstance(run, pa.DataType):
+            ids = run
+            if out:
+                yield drain()
+            continue
+        if held:
+            decide(held, run[0])
+            before = held[-1]
+        held = run
+    if held:
+        decide(held, None)
         yield drain()
 
 
@@ -287,8 +421,18 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("version"))
     kind = rows.schema["page_id"].dataType.simpleString()
     located = rows.withColumns({"host": host, "path": path}).withColumn("bucket", range_bucket(key, bounds))
-    cut = located.mapInArrow(_cut, _LINES.format(kind))
-    cut = cut.repartition(width, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "version")
+    schema = _LINES.format(kind)
+    cut = materialize(located.withColumn("side", F.lit(1)).mapInArrow(_cut, schema), "page-hashes")
+    if bounds:
+        ordered = cut.repartition(width, "bucket").sortWithinPartitions(*_ORDER)
+        edges = materialize(ordered.mapInArrow(_edges, f"{schema}, whole boolean"), "page-edges")  # at most four pages a bucket
+        facts = edges.select("bucket", "side", "version", "host", "whole", F.xxhash64("lines", "kinds").alias("content")).collect()
+        dealt = _deal_edges(facts)
+        if dealt:
+            seats = spark.createDataFrame(dealt, "bucket int, side int, version long, target int")
+            sent = edges.join(F.broadcast(seats), ["bucket", "side", "version"])
+            cut = cut.unionByName(sent.withColumn("bucket", F.col("target")).select(*_NAMES))
+    cut = cut.repartition(width, "bucket").sortWithinPartitions(*_ORDER)
     decided = materialize(cut.mapInArrow(_differ, f"page_id {kind}, version long, deleted binary").dropDuplicates(["page_id", "version"]), "page-lines")
     if decided.limit(1).count():
         rows = rows.join(decided, ["page_id", "version"], "left")

@@ -239,6 +239,27 @@ def test_differences_delete_template_lines(spark):
     assert out[9].startswith("Welcome") and out[10] == out[11] == "same text"
 
 
+def test_differences_of_long_templates_copies_and_bucket_edges(spark):
+    menu = "".join(f"<p>Menu entry number {k} of the site</p>" for k in range(12))
+    words = lambda k: f"Story {hashlib.md5(str(k).encode()).hexdigest()} told in a few words"
+    page = lambda k: f"<div>{menu}<p>{words(k)}</p><p>All rights kept</p></div>"
+    same = {k: 500 if 40 <= k < 45 else 501 if 60 <= k < 160 else k for k in range(200)}  # runs of copies, one over several buckets
+    rows = [(k, f"http://a.example/en/{k}", page(same[k])) for k in range(200)]
+    rows += [(300, "http://b.example/1", page(300)), (301, "http://b.example/2", page(300))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in (df, df.where("page_id < 20"), df.where("page_id between 38 and 47"), df.where("page_id >= 60")):
+        out = {r.page_id: r.text for r in page_differ.extract(part).collect()}
+        assert all(t == words(same[k]) for k, t in out.items() if k < 200)
+        assert all(out[k].startswith("Menu entry number 0") for k in (300, 301) if k in out)
+
+
+def test_near_copies_keep_their_text(spark):
+    article = "".join(f"<p>Paragraph {k} of one and the same long article</p>" for k in range(40))
+    rows = [(k, f"http://a.example/{k}", f"<p>Welcome</p>{article}<p>Seen {k} times</p>") for k in range(3)]
+    out = page_differ.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Paragraph 39" in r.text for r in out)
+
+
 def test_longest_common_lines():
     rng = random.Random(4)
     for _ in range(200):
