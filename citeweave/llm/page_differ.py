@@ -2,7 +2,8 @@
 
 Each page is cut into text lines (one per block element) by a tolerant scanner. Lines inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like (by element,
-role, class or id) are boilerplate. Pages are then paired with the page whose URL path is
+role, class or id) are boilerplate; an article in a form or in an element with such a class
+or id is not, and inside an article a single word that topics have too marks nothing. Pages are then paired with the page whose URL path is
 nearest on the same host, the two pages' lines are aligned by longest common subsequence, and
 lines that both have are template text: they are deleted. A line inside an article element is
 never deleted for being shared, since articles quote each other; differencing decides about
@@ -56,44 +57,71 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav footer cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments reply replies disqus discussion login signin signup search pagination pager widget widgets toolbar masthead topbar paywall copyright".split()
 )
+#: Of these, the ones that headings and topics of an article have too: inside an article one alone marks nothing.
+AMBIGUOUS = frozenset(
+    "banner menu navigation notice notification alert consent copyright promotion share sharing social related recommended recommendations comment reply replies discussion search subscription overlay modal login".split()
+)
+#: Words that make one of those plain.
+HELPERS = frozenset("bar box button buttons container form icons links list panel posts articles stories".split())
 CONTENT = frozenset(["article", "main"])
+#: What hides an element's lines: a form and a class or id give way to an article inside, the rest does not.
+FORM, MARKED, HARD = 1, 2, 3
 #: Elements that a new one of the same list ends.
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """0, or what makes the element boilerplate."""
+    level = HARD if (tag in BOILERPLATE and tag != "form") or (tag == "header" and not in_article) else FORM if tag == "form" else 0
+    if level == HARD or not attributes or tag in ("html", "body", "main"):
+        return level
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+        return HARD
+    role = found.get("role", "").lower()
+    if role in ROLES and role != "form":
+        return HARD
+    if level or role == "form":
+        return FORM
     words = {w.lower() for key in ("class", "id") for w in _NAME_PARTS.findall(found.get(key, ""))}
-    return bool(words & (WORDS if tag != "article" else {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}))
+    marks = words & (WORDS if tag != "article" else {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"})
+    if in_article and tag != "article" and marks <= AMBIGUOUS and len(marks) + len(words & HELPERS) < 2:
+        return 0
+    return MARKED if marks else 0
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """(line, kind) in page order; kind 0 boilerplate, 1 elsewhere, 2 inside an article."""
+    """(line, kind) in page order; kind 0 boilerplate, 1 elsewhere, 2 inside an article.
+
+    An article inside a form is one. An article inside an element that its class or id marks
+    is one unless the page has its text elsewhere: then it is a teaser or a comment.
+    """
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open block or content elements; whether each is boilerplate
-    hidden = inside = 0
+    stack: list[tuple] = []  # open block or content elements; what makes each boilerplate; the state that an article inside such interrupts
+    hidden = [0, 0, 0, 0]  # open elements by what makes them boilerplate
+    inside = articles = 0
+    wrapped = whole = False
 
     def flush() -> None:
+        nonlocal whole
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, 0 if hidden else 2 if inside else 1))
+                kind = 0 if any(hidden) else 1 if not inside else 3 if wrapped else 2
+                whole |= kind == 2 and articles > 0
+                lines.append((text, kind))
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal hidden, inside
-        for name, boiler in stack[k:]:
-            hidden -= boiler
+        nonlocal inside, articles, wrapped
+        for name, level, before in reversed(stack[k:]):
+            if level:
+                hidden[level] -= 1
             inside -= name in CONTENT
+            articles -= name == "article"
+            if before is not None:
+                hidden[FORM], hidden[MARKED], wrapped = before
         del stack[k:]
 
     at, n = 0, len(page)
@@ -114,7 +142,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             if tag in BLOCK:
                 flush()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0 and not any(name in CONTENT and tag not in CONTENT and tag in ("p", "li", "b") for name, _ in stack[k + 1 :]):
+            if k >= 0 and not any(name in CONTENT and tag not in CONTENT and tag in ("p", "li", "b") for name, _, _ in stack[k + 1 :]):
                 flush()
                 close(k)
             continue
@@ -134,15 +162,24 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 close(len(stack) - 1)
         if tag in VOID:
             continue
-        boiler = _is_boilerplate(tag, m[3] or "", inside > 0)
-        if tag in BLOCK or boiler:
-            if boiler:
+        level = _boilerplate(tag, m[3] or "", inside > 0)
+        if tag in BLOCK or level:
+            if level:
                 flush()
-            stack.append((tag, boiler))
-            hidden += boiler
+            before = None
+            if tag in CONTENT and not level and not hidden[HARD] and any(hidden):
+                before = (hidden[FORM], hidden[MARKED], wrapped)
+                wrapped = wrapped or hidden[MARKED] > 0
+                hidden[FORM] = hidden[MARKED] = 0
+            stack.append((tag, level, before))
+            if level:
+                hidden[level] += 1
             inside += tag in CONTENT
+            articles += tag == "article"
     flush()
-    return lines
+    sizes = [sum(len(text) for text, kind in lines if kind == k) for k in (2, 3)]
+    inner = 0 if whole or sizes[0] >= sizes[1] else 2
+    return [(text, inner if kind == 3 else kind) for text, kind in lines]
 
 
 # ------------------------------------------------------------------ alignment

@@ -230,6 +230,21 @@ def test_pages(spark, page, expected):
     assert [(r.text, r.n_chars) for r in page_differ.extract(df).collect()] == [(expected, len(expected))]
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<form id='aspnetForm'><nav>Menu</nav><div><article><p>text</p><form>q</form></article></div><p>more</p></form>", "text"),
+        ("<main><h1>T</h1><form><article><p>text</p></article></form></main>", "T\ntext"),
+        ("<article><p>a</p><section id='discussion'><p>b</p></section><div class='social-science'><p>c</p></div><div class='share-buttons'>s</div><div class='comments'>no</div></article>", "a\nb\nc"),
+        ("<div class='social-science'><article><p>text</p></article><p>more</p></div><p>end</p>", "text"),
+        ("<article><p>text</p></article><div class='related-posts'><article><p>a teaser that is longer than the text</p></article></div>", "text"),
+        ("<aside><article>no</article></aside><div hidden><article>no</article></div><section id='comments'><article class='comment'>no</article></section><p>text</p>", "text"),
+    ],
+)
+def test_articles_inside_boilerplate(page, expected):
+    assert page_differ.main_text(page_differ.page_lines(page)) == expected
+
+
 def test_differences_delete_template_lines(spark):
     page = lambda k: f"<div><p>Welcome to the site</p><p>Story {k} about thing {k * 7}, told at some length here</p><p>All rights kept</p></div>"
     rows = [(k, f"http://a.example/en/{k}", page(k)) for k in range(8)] + [(9, "http://b.example/x", page(9)), (10, "http://c.example/1", "<p>same text</p>"), (11, "http://c.example/2", "<p>same text</p>")]
