@@ -24,15 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; one row where rows repeat."""
-    found = trie_join.near_duplicates(docs)
-    later = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-duplicates")
-    kept = docs.select(*COLUMNS).join(later, "doc_id", "left_anti")
-    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
-    if repeated.limit(1).count():
-        once = kept.join(repeated, "doc_id").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*COLUMNS)
+    """The document with the smallest id of each group of linked documents.
+
+    Rows that repeat an id with another text are documents of their own, and are numbered in
+    the order of (id, text's digest); of rows that repeat id and text, one stays.
+    """
+    docs = docs.select(*COLUMNS)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        found = trie_join.near_duplicates(docs)
+        later = materialize(found.where("component_id <> doc_id").select("doc_id"), "pipeline-duplicates")
+        return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.where("doc_id is not null").withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    once = rows.groupBy("doc_id", "digest").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "digest", "row.*")
+    numbered = materialize(once.orderBy("doc_id", "digest").withColumn("number", F.monotonically_increasing_id()), "pipeline-numbered")
+    found = trie_join.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"))
+    later = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("number")), "pipeline-duplicates")
+    kept = numbered.join(later, "number", "left_anti").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -593,6 +593,16 @@ def test_tree_is_exact(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{k}" for k in range(60))
+    other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    df = docs(spark, base, base + " end", other, third, third, base, None, ids=[1, 2, 2, 3, 3, 3, None])
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=str)
+    assert kept == sorted([(1, base), (2, other), (3, third), (None, None)], key=str)
+
+
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline
 
