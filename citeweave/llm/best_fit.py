@@ -15,6 +15,9 @@ on, so many in each, from this offset", and each piece finds its run by its numb
 pieces of its length. Numbers come from counts per (bucket of documents, length) and a row
 number inside a bucket, so no length, however common, meets in one task.
 
+Ids are those of ``tokenizers`` with the tokenizer's own handling of special tokens: a text
+that holds the string of one gets its id.
+
 Null text counts as empty: its document is the end id alone. Rows that repeat a doc_id are
 separate documents; columns of the input other than doc_id and text are ignored. An empty
 table gives an empty result.
@@ -22,11 +25,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import base64
-import os
+import json
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,45 +39,98 @@ from tokenizers import Tokenizer
 
 from citeweave.llm.common import bounded_batches, lean, materialize, text_array
 
-try:
-    import public_tokenizers
-    import tiktoken
-except ImportError:  # ids then come from the tokenizer file alone
-    tiktoken = None
-
 CAPACITY = 1024
 END_ID = 2
 DOCS_PER_BUCKET = 4096
 
-PROBE = "It's 12 o'clock,\n\n  élan  vital\tand 東京 \U0001f600 <|endoftext|>  x "
-
-_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
-
-
-def ranks_beside(path: str) -> str:
-    return os.path.splitext(path)[0] + ".tiktoken"
-
-
-def _load(path: str, fast: bool) -> Callable[[str], list[int]]:
-    if fast:
-        with open(ranks_beside(path), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda text: whole.encode(text, add_special_tokens=False).ids
-
-
-def encoder(path: str, fast: bool) -> Callable[[str], list[int]]:
-    """Ids of texts by the tokenizer file, or by its ranks; kept for a worker's later tasks."""
-    if (path, fast) not in _encoders:
-        _encoders[path, fast] = _load(path, fast)
-    return _encoders[path, fast]
-
-
-def has_equal_ranks(path: str) -> bool:
-    """A file of ranks lies beside the tokenizer file and gives equal ids on a probe (it is several times faster)."""
-    return tiktoken is not None and os.path.exists(ranks_beside(path)) and _load(path, True)(PROBE) == _load(path, False)(PROBE)
+# ------------------------------------------------------------------ ids
+
+#: Letters that every version of Unicode calls letters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: How byte-level tokenizers part a text, for texts of ASCII and these letters.
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t\n\r\f\v0-9{_LETTERS}]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+_OTHER = rf"[^\t\n\r\f\v -~{_LETTERS}]"
+#: A single space between two characters that are not white space always begins a part.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_BYTE_CHARS = str.maketrans({chr(b): chr(b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else 256 + b if b < 33 else 162 + b if b < 161 else 323) for b in range(256)})
+#: Parts whose ids a worker remembers, at most, and their longest length.
+KNOWN, KNOWN_CHARS = 200_000, 64
+
+
+class Encoder:
+    """Ids of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, little-endian.
+
+    A byte-level tokenizer without a normalizer merges inside parts of a text only, and parts
+    repeat; so the tokenizer's model is asked once per part, and remembered. What is not
+    plainly parted (other alphabets, special tokens) goes through the tokenizer whole, word by
+    word. Tokenizers of other kinds are given each text whole.
+    """
+
+    def __init__(self, path: str):
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        first = said.get("pre_tokenizer") or {}
+        added = said.get("added_tokens") or []
+        self.parted = (
+            said.get("normalizer") is None
+            and first.get("type") == "ByteLevel"
+            and not first.get("add_prefix_space", True)
+            and first.get("use_regex", True)
+            and said["model"].get("type") == "BPE"
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        )
+        self.odd = re.compile("|".join([_OTHER, *(re.escape(t["content"]) for t in added)]))
+
+    def _part(self, part: str) -> bytes:
+        if part in self.known:
+            return self.known[part]
+        if self.odd.search(part):
+            ids = self.whole.encode(part, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        found = np.array(ids, dtype="<u4").tobytes()
+        if len(part) <= KNOWN_CHARS:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[part] = found
+        return found
+
+    def parts(self, text: str) -> list[str]:
+        if not self.odd.search(text):
+            return _PARTS.findall(text)
+        found: list[str] = []
+        plain: list[str] = []
+        for k, word in enumerate(_CUT.split(text)):
+            word = f" {word}" if k else word
+            if self.odd.search(word):
+                found += [*_PARTS.findall("".join(plain)), word]
+                plain.clear()
+            else:
+                plain.append(word)
+        return found + _PARTS.findall("".join(plain))
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.parted:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        parts = self.parts(text)
+        try:
+            ids = b"".join([self.known[p] for p in parts])
+        except KeyError:
+            ids = b"".join([self._part(p) for p in parts])
+        return np.frombuffer(ids, dtype="<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """Kept for a worker's later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -84,15 +140,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _pieces(path: str, fast: bool, capacity: int):
+def _pieces(path: str, capacity: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, fast)
+        encode = encoder(path)
         for batch in batches:
             ids_of = batch.column("doc_id")
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(text_array(batch.column("text")).to_pylist()):
-                ids = np.array(encode(text) + [END_ID], dtype="<u4")
+                ids = np.append(encode(text), np.uint32(END_ID))
                 for k, (a, n) in enumerate(cut(len(ids), capacity)):
                     row.append(i)
                     piece.append(k)
@@ -232,7 +288,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
     spark = documents.sparkSession
     bounded_batches(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    cut_up = documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, has_equal_ranks(tokenizer), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    cut_up = documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = materialize(cut_up, "pack-pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs, _, _ = plan(counts, capacity)
@@ -276,13 +332,11 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
 def sequences(documents: DataFrame, packed: DataFrame, tokenizer: str) -> DataFrame:
     """sequence_id, ids array<int>: the packed sequences themselves; doc_id must be unique for this."""
-    fast = has_equal_ranks(tokenizer)
-
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, fast)
+        encode = encoder(tokenizer)
         for batch in batches:
-            whole = [encode(t) + [END_ID] for t in text_array(batch.column("text")).to_pylist()]
+            whole = [np.append(encode(t), np.uint32(END_ID)) for t in text_array(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
