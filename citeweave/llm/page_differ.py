@@ -1,15 +1,23 @@
-"""HTML extraction: structure, and differences between pages with near URLs.
-
-Each page is cut into text lines (one per block element) by a tolerant scanner. Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms, comments and the like (by element,
-role, class or id) are boilerplate; an article in a form or in an element with such a class
-or id is not, and inside an article a single word that topics have too marks nothing. Pages are then paired with the page whose URL path is
-nearest on the same host, the two pages' lines are aligned by longest common subsequence, and
-lines that both have are template text: they are deleted. A line inside an article element is
-never deleted for being shared, since articles quote each other; differencing decides about
-the pages that do not mark their article. Pages in a row with nearly the same text are copies,
-not a template: each of them looks on to the nearest page before and after the row. If the
-nearer of the two shares more than half of the page's text, the one that shares less decides.
+"""HTML extraction: nearest-URL page differencing over the text lines of pages.
+
+Each page is cut into text lines (one per block element) by a tolerant scanner, linear in the
+page. Scripts, forms, menus, headers, footers, adverts, reader comments and the like are left
+out by element, role, class or id; an article in a form or in an element with such a class
+or id is not, and inside an article a single word that topics have too marks nothing.
+
+Every page is then paired with the pages whose URL paths are nearest on the same host, one
+before and one after it, the pages' lines are aligned by longest common subsequence, and the
+lines that they share are template text: they are deleted. Articles quote each other and pages
+are copied, so a shared line is spared where the alignment itself says that it is no template:
+
+* a neighbour that shares nearly all of the page's text is a copy and tells nothing; pages
+  in a row with nearly the same text look on to the nearest page before and after the row;
+* inside an article element a line goes only with its whole block (what one path of sections,
+  divisions and lists holds): if both neighbours share every line of the block, and the blocks
+  that go are not most of the article. A shared line among lines of the page's own is a
+  quotation and stays, as do headings and quoted blocks, which belong to the block around them;
+* on a page that marks no article every shared line goes, unless the neighbour shares more
+  than half of the page's text: then of the two the one that shares less decides.
 
 Pages travel as hashes of their lines, sorted by (host, path with padded numbers) in buckets
 cut at bounds from the keys with the smallest hashes; a busy host spans many buckets, and a
@@ -29,7 +37,8 @@ import hashlib
 import html as html_lib
 import os
 import re
-from bisect import bisect_left
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +50,13 @@ from citeweave.llm.common import bounded_batches, lean, materialize, range_bucke
 
 # ------------------------------------------------------------------ lines of a page
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+_OPEN = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: The same where quotes are not closed.
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CLASS = re.compile(r"""(?<![^\s"'])class\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -50,6 +64,10 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Of these, the ones that end with the page if nothing closes them; the start tags of others are passed over then.
+ENDLESS = frozenset("script style textarea title xmp".split())
+#: Elements whose path names the block that a line belongs to.
+CONTAINERS = frozenset("article aside details div dl fieldset footer form header main menu nav ol section ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form head menu button dialog fieldset label search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status tablist".split())
@@ -90,18 +108,22 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> int:
     return MARKED if marks else 0
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """(line, kind) in page order; kind 0 boilerplate, 1 elsewhere, 2 inside an article.
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """(line, kind, block) in page order; kind 0 boilerplate, 1 elsewhere, 2 inside an article.
 
-    An article inside a form is one. An article inside an element that its class or id marks
+    Lines of one block have the same path of containers (elements and their classes). An
+    article inside a form is one. An article inside an element that its class or id marks
     is one unless the page has its text elsewhere: then it is a teaser or a comment.
     """
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple] = []  # open block or content elements; what makes each boilerplate; the state that an article inside such interrupts
+    stack: list[tuple] = []  # open elements: name; what makes each boilerplate; the state that an article inside such interrupts; path
+    opened: Counter = Counter()  # open elements by name
+    inner: list[Counter] = [Counter()]  # the same, outside content elements and inside each
     hidden = [0, 0, 0, 0]  # open elements by what makes them boilerplate
     inside = articles = 0
     wrapped = whole = False
+    blocks: dict[int, int] = {}
 
     def flush() -> None:
         nonlocal whole
@@ -110,39 +132,57 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             if text:
                 kind = 0 if any(hidden) else 1 if not inside else 3 if wrapped else 2
                 whole |= kind == 2 and articles > 0
-                lines.append((text, kind))
+                lines.append((text, kind, blocks.setdefault(stack[-1][3] if stack else 0, len(blocks))))
             parts.clear()
 
     def close(k: int) -> None:
         nonlocal inside, articles, wrapped
-        for name, level, before in reversed(stack[k:]):
+        while len(stack) > k:
+            name, level, before, _ = stack.pop()
+            if name in CONTENT:
+                inner.pop()
+            inner[-1][name] -= 1
+            opened[name] -= 1
             if level:
                 hidden[level] -= 1
             inside -= name in CONTENT
             articles -= name == "article"
             if before is not None:
                 hidden[FORM], hidden[MARKED], wrapped = before
-        del stack[k:]
+
+    def innermost(tag: str) -> int:
+        """Place of the open element that an end tag closes, -1 if none; a p, li or b outside an article is not closed inside it."""
+        if (inner[-1] if tag in ("p", "li", "b") else opened)[tag] <= 0:
+            return -1
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
 
     at, n = 0, len(page)
+    quoted = True
+    unclosed: set[str] = set()
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            tail = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^<]*\Z", tail)  # a tag that the page's end cuts off
-            parts.append(tail[: cut.start()] if cut else tail)
+        found = _OPEN.search(page, at)
+        if found is None:
+            parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
+        if found.start() > at:
+            parts.append(page[at : found.start()])
+        at = found.start()
+        if page[at + 1] in "!?":
+            at = _ASIDE.match(page, at).end()
             continue
+        m = _TAG.match(page, at) if quoted else None
+        if m is None:
+            quoted = False  # a quote that nothing closes: from here on tags end at their first >
+            m = _LOOSE_TAG.match(page, at)
+            if m is None:  # a tag that the page's end cuts off
+                break
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0 and not any(name in CONTENT and tag not in CONTENT and tag in ("p", "li", "b") for name, _, _ in stack[k + 1 :]):
+            k = innermost(tag)
+            if k >= 0:
                 flush()
                 close(k)
             continue
@@ -150,9 +190,15 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             parts.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else n
+            if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
+                continue
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ENDLESS:
+                break
+            else:
+                unclosed.add(tag)
             continue
         if tag in BLOCK:
             flush()
@@ -171,22 +217,89 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 before = (hidden[FORM], hidden[MARKED], wrapped)
                 wrapped = wrapped or hidden[MARKED] > 0
                 hidden[FORM] = hidden[MARKED] = 0
-            stack.append((tag, level, before))
+            path = stack[-1][3] if stack else 0
+            if tag in CONTAINERS:
+                of = _CLASS.search(m[3]) if "lass" in m[3] or "LASS" in m[3] else None
+                path = zlib.crc32(f"{tag} {of[0] if of else ''}".encode("utf-8", "surrogatepass"), path + 1)
+            stack.append((tag, level, before, path))
+            inner[-1][tag] += 1
+            opened[tag] += 1
+            if tag in CONTENT:
+                inner.append(Counter())
             if level:
                 hidden[level] += 1
             inside += tag in CONTENT
             articles += tag == "article"
     flush()
-    sizes = [sum(len(text) for text, kind in lines if kind == k) for k in (2, 3)]
-    inner = 0 if whole or sizes[0] >= sizes[1] else 2
-    return [(text, inner if kind == 3 else kind) for text, kind in lines]
+    sizes = [sum(len(text) for text, kind, _ in lines if kind == k) for k in (2, 3)]
+    teaser = 0 if whole or sizes[0] >= sizes[1] else 2
+    return [(text, teaser if kind == 3 else kind, block) for text, kind, block in lines]
 
 
 # ------------------------------------------------------------------ alignment
 
 
+#: Bits of an alignment's table that are held at once.
+TABLE_BITS = 1 << 28
+
+
+def _rows(own: list[int], places: dict[int, int], width: int) -> Iterator[int]:
+    """For each line of ``own`` the row of the length table as bits: bit j is 0 where the length grows from column j to j + 1 (Hyyro 2004)."""
+    full = (1 << width) - 1
+    row = full
+    for x in own:
+        both = row & places.get(x, 0)
+        row = ((row + both) | (row - both)) & full
+        yield row
+
+
+def _places(other: list[int]) -> dict[int, int]:
+    at: dict[int, list[int]] = {}
+    for j, x in enumerate(other):
+        at.setdefault(x, []).append(j)
+    width = len(other) + 7 >> 3
+    found = {}
+    for x, js in at.items():
+        bits = bytearray(width)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        found[x] = int.from_bytes(bits, "little")
+    return found
+
+
+def _lengths(own: list[int], other: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``own`` with each beginning of ``other``."""
+    row = (1 << len(other)) - 1
+    for row in _rows(own, _places(other), len(other)):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) + 7 >> 3, "little"), dtype=np.uint8), bitorder="little")[: len(other)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _align(own: list[int], other: list[int], base: int, found: set[int]) -> None:
+    if not own or not other:
+        return
+    if len(own) * len(other) > TABLE_BITS and len(own) > 1:  # Hirschberg's halves
+        half = len(own) // 2
+        ahead, back = _lengths(own[:half], other), _lengths(own[half:][::-1], other[::-1])
+        cut = int(np.argmax(ahead + back[::-1]))
+        _align(own[:half], other[:cut], base, found)
+        _align(own[half:], other[cut:], base + half, found)
+        return
+    rows = list(_rows(own, _places(other), len(other)))
+    i, j = len(own), len(other)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.add(base + i)
+
+
 def shared_lines(own: list[int], other: list[int]) -> set[int]:
-    """Positions in ``own`` of a longest common subsequence with ``other`` (equal ends first, then Hunt-Szymanski)."""
+    """Positions in ``own`` of a longest common subsequence with ``other``: equal ends first, then only lines that both have, 64 pairs a machine word."""
     low, high = 0, 0
     least = min(len(own), len(other))
     while low < least and own[low] == other[low]:
@@ -194,26 +307,11 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     while high < least - low and own[-1 - high] == other[-1 - high]:
         high += 1
     found = {*range(low), *range(len(own) - high, len(own))}
-    places: dict[int, list[int]] = {}
-    for j in range(len(other) - high - 1, low - 1, -1):
-        places.setdefault(other[j], []).append(j)  # descending
-    tops: list[int] = []
-    links: list[tuple | None] = []
-    for i in range(low, len(own) - high):
-        for j in places.get(own[i], ()):
-            k = bisect_left(tops, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tops):
-                tops.append(j)
-                links.append(link)
-            else:
-                tops[k] = j
-                links[k] = link
-    chain = links[-1] if links else None
-    while chain is not None:
-        found.add(chain[0])
-        chain = chain[1]
-    return found
+    both = set(own[low : len(own) - high]) & set(other[low : len(other) - high])
+    at = [i for i in range(low, len(own) - high) if own[i] in both]
+    inner: set[int] = set()
+    _align([own[i] for i in at], [x for x in other[low : len(other) - high] if x in both], 0, inner)
+    return found | {at[i] for i in inner}
 
 
 #: Two pages are copies if this share of the characters of each is in lines of the other.
@@ -231,28 +329,34 @@ def copies(one: list[int], one_sizes: list[int], other: list[int], other_sizes:
     return sum(one_sizes[k] for k in shared) > COPY_SHARE * most
 
 
-def template_lines(lines: list[int], kinds: bytes, sizes: list[int], neighbours: list[list[int]], copy_share: float = COPY_SHARE) -> list[int]:
+def template_lines(lines: list[int], kinds: bytes, sizes: list[int], blocks: list[int], neighbours: list[list[int]], copy_share: float = COPY_SHARE) -> list[int]:
     """Positions of the lines to delete; ``neighbours`` are the lines of near pages, the nearest first."""
-    kept = [k for k, kind in enumerate(kinds) if kind == 1]
+    marked = 2 in kinds
+    kept = [k for k, kind in enumerate(kinds) if kind == (2 if marked else 1)]
     total = sum(sizes[k] for k in kept)
     found = []
     for other in neighbours:
         shared = shared_lines(lines, other)
         gone = [k for k in kept if k in shared]
-        if 2 in kinds:
-            return []  # the article is marked: no other line is text anyway
         size = sum(sizes[k] for k in gone)
-        if 2 * size <= total:
-            return gone
         if size <= copy_share * total:
             found.append((size, len(found), gone))
-    return min(found)[2] if found else []
+            if not marked and 2 * size <= total:
+                return gone
+    if not found:
+        return []
+    if not marked:
+        return min(found)[2]
+    common = set(found[0][2]).intersection(*(gone for _, _, gone in found[1:]))
+    own = {blocks[k] for k in kept if k not in common}
+    gone = [k for k in kept if blocks[k] not in own]
+    return gone if 2 * sum(sizes[k] for k in gone) <= total else []
 
 
-def main_text(lines: list[tuple[str, int]], deleted: set[int] = frozenset()) -> str:
-    """The article's lines joined; without a marked article, the lines that are not boilerplate or deleted."""
-    best = max((kind for _, kind in lines), default=0)
-    return "\n".join(text for k, (text, kind) in enumerate(lines) if kind == best and kind and k not in deleted)
+def main_text(lines: list[tuple[str, int, int]], deleted: set[int] = frozenset()) -> str:
+    """The article's lines joined; without a marked article, the lines that are not boilerplate; without deleted ones."""
+    best = max((kind for _, kind, _ in lines), default=0)
+    return "\n".join(text for k, (text, kind, _) in enumerate(lines) if kind == best and kind and k not in deleted)
 
 
 # ------------------------------------------------------------------ operator
@@ -266,8 +370,8 @@ def url_key(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(padded, F.lit(""))
 
 
-_LINES = "page_id {}, version long, host string, path string, bucket int, side int, lines binary, kinds binary, sizes binary"
-_NAMES = ("page_id", "version", "host", "path", "bucket", "side", "lines", "kinds", "sizes")
+_LINES = "page_id {}, version long, host string, path string, bucket int, side int, lines binary, kinds binary, sizes binary, blocks binary"
+_NAMES = ("page_id", "version", "host", "path", "bucket", "side", "lines", "kinds", "sizes", "blocks")
 #: Order of a bucket's rows: pages of buckets before (side 0), its own (1), pages of buckets after (2).
 _ORDER = ("bucket", "side", "host", "path", "page_id", "version")
 
@@ -275,14 +379,15 @@ _ORDER = ("bucket", "side", "host", "path", "page_id", "version")
 @lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, kinds, sizes = [], [], []
+        hashes, kinds, sizes, blocks = [], [], [], []
         for page in text_array(batch.column("html")).to_pylist():
             lines = page_lines(page)
-            hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t, _ in lines))
-            kinds.append(bytes(k for _, k in lines))
-            sizes.append(np.array([len(t) for t, _ in lines], dtype=np.int32).tobytes())
+            hashes.append(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t, _, _ in lines))
+            kinds.append(bytes(k for _, k, _ in lines))
+            sizes.append(np.array([len(t) for t, _, _ in lines], dtype=np.int32).tobytes())
+            blocks.append(np.array([b for _, _, b in lines], dtype=np.int32).tobytes())
         columns = [batch.column(c) for c in _NAMES[:6]]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes))], names=list(_NAMES))
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (hashes, kinds, sizes, blocks))], names=list(_NAMES))
 
 
 class _Page:
@@ -298,6 +403,9 @@ class _Page:
     def sizes(self) -> list[int]:
         return np.frombuffer(self.row[8], dtype=np.int32).tolist()
 
+    def blocks(self) -> list[int]:
+        return np.frombuffer(self.row[9], dtype=np.int32).tolist()
+
     def content(self) -> tuple[list[int], list[int]]:
         kinds = self.row[7]
         return [h for h, k in zip(self.lines(), kinds, strict=True) if k], [n for n, k in zip(self.sizes(), kinds, strict=True) if k]
@@ -347,8 +455,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield (*page.row[:5], side, *page.row[6:], whole)
 
     def drain(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [()] * 10
-        types = (ids, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        columns = list(zip(*found, strict=True)) or [()] * 11
+        types = (ids, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[*_NAMES, "whole"])
 
     for run in _runs(batches):
@@ -408,7 +516,7 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nearest = sorted(range(len(beside)), key=lambda k: (-len(os.path.commonprefix([page.path, beside[k].path])), k))
             key = (id(page.row[6]), *nearest)
             if key not in known:
-                known[key] = template_lines(page.lines(), page.row[7], page.sizes(), [others[k] for k in nearest])
+                known[key] = template_lines(page.lines(), page.row[7], page.sizes(), page.blocks(), [others[k] for k in nearest])
             if known[key]:
                 out.append((page.page_id, page.version, np.array(known[key], dtype=np.int32).tobytes()))
 
