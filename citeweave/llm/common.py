@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="citeweave-")
@@ -49,21 +52,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
-#: Rows of an Arrow batch of texts, where the session still has Spark's default.
-BATCH_ROWS = 2000
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again (their readers have been written themselves)."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows and bytes of an Arrow batch of texts, where the session has not chosen them itself.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches from the default 10000 rows, which are tens of MB of long texts and several times that in buffers.
+    """Bound the session's Arrow batches by rows and bytes, as batches of long texts are several times their size in buffers.
 
-    A size that the session chose itself stays.
+    What the session or its context set stays.
     """
-    if spark.conf.get(_BATCHES) == "10000":
-        spark.conf.set(_BATCHES, BATCH_ROWS)
+    chosen = {k for k, _ in spark.sparkContext.getConf().getAll()} | set(spark.conf.getAll)
+    for key, value in BATCHES.items():
+        if key not in chosen:
+            spark.conf.set(key, value)
 
 
 def shuffle_width(spark: SparkSession) -> int:

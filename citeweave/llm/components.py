@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import materialize
+from citeweave.llm.common import forget, materialize
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     known = materialize(edges.where("u <> v").select("u", "v").distinct(), label)
     state = None
     for _ in range(rounds):
-        known = materialize(_small_star(_large_star(known)), label)
+        before, known = known, materialize(_small_star(_large_star(known)), label)
+        forget(before)
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return known

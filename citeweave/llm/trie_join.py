@@ -18,11 +18,15 @@ similarity reaches the threshold, and reports them as connected components. Shin
    of them.
 3. ``refined``: inside large clusters the order is made anew, from the exact number of their
    sets that hold each shingle, which parts texts that merely share a passage.
-4. ``links``: each cluster's sets come together once, and are joined by a trie: sets, rarest
-   shingle first, share the nodes of equal beginnings; a query walks it with its partial
-   overlap and leaves a subtree when the shingles that remain cannot reach the threshold,
-   or when all sets below are connected with it already. A cluster that is too large for
-   one task is cut into blocks, and each pair of blocks is joined in a task of its own.
+4. ``links``: each cluster's sets come together once, and every link is found by a trie: sets,
+   their shingles in the global order, share the nodes of equal beginnings; a query walks it
+   level by level with its partial overlaps and leaves a subtree when the shingles that
+   remain cannot reach the threshold, or when all sets below are connected with it already.
+   A cluster that is too large for one task is dealt over blocks by hash. First each block is
+   joined, together with a few sets of the whole cluster that all its blocks get; the sets
+   that are then outside the cluster's largest component, usually few or none, are asked of
+   the tries of all blocks. So a group of near copies costs in proportion to its sets; only
+   sets that shared a candidate cluster without being linked meet block by block.
 
 Texts are read from the input again where they are needed. Only those of clustered sets
 move, found by a filter of fixed size, so the bulk of the corpus is never shuffled.
@@ -56,8 +60,13 @@ LOCAL_LEAST = 2
 REFINE_SHINGLES = 100_000
 #: Bits of the filter of clustered sets, at most (the bound of what is broadcast).
 FILTER_BITS = 1 << 27
-#: Shingles of the sets that are joined in one task, at most (unless two blocks hold more).
-UNIT_SHINGLES = 2_000_000
+#: What is joined in one trie: its shingles and SET_COST for each set, at most (but for one larger set).
+UNIT_COST = 64_000
+SET_COST = 600
+#: Sets of a cluster that all its blocks get in the first round.
+HUBS = 4
+#: Shingles of a node that a search looks at between two looks at its bounds.
+STEP = 64
 TOKENS_PER_BUCKET = 800_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -173,6 +182,15 @@ class Order:
         at = np.argsort(items)
         self.items, self.rank = items[at], rank[at]
 
+    def arranged(self, items: np.ndarray) -> np.ndarray:
+        """The places of sorted ``items`` in the global order."""
+        if not len(self.items):
+            return np.arange(len(items))
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        frequent = self.items[at] == items
+        late = np.flatnonzero(frequent)
+        return np.concatenate([np.flatnonzero(~frequent), late[np.argsort(self.rank[at[late]])]])
+
     def prefix(self, items: np.ndarray, length: int) -> np.ndarray:
         if not len(self.items):
             return items[:length]
@@ -336,28 +354,36 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def candidates(documents: DataFrame, signatures: DataFrame) -> DataFrame:
-    """u, v: set hashes and the least set hash of their candidate cluster; sets alone in theirs have no row."""
-    spark = documents.sparkSession
+def global_order(signatures: DataFrame):
+    """A broadcast of the order of shingles (at most FREQUENT of them are in its table)."""
+    spark = signatures.sparkSession
     counted = signatures.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # bounded by FREQUENT
-    order = spark.sparkContext.broadcast(Order(top.column("shingle").to_numpy().copy(), top.column("n").to_numpy().copy()))
+    return spark.sparkContext.broadcast(Order(top.column("shingle").to_numpy().copy(), top.column("n").to_numpy().copy()))
+
+
+def candidates(documents: DataFrame, signatures: DataFrame, order) -> DataFrame:
+    """u, v: set hashes and the least set hash of their candidate cluster; sets alone in theirs have no row."""
     total = signatures.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     n = int(total // TOKENS_PER_BUCKET) + 12
     rows, unpack = documents.select("text").mapInArrow(_prefixes(order, n), _BLOBS), True
     for _ in range(2):  # sets that drop out may leave others without partners
         partners = _dealt(rows, n).mapInArrow(_with_partner(n, unpack), _BLOBS)
         rows, unpack = _dealt(partners, n).mapInArrow(_with_enough(n), _BLOBS), False
-    found = components(_dealt(rows, n).mapInArrow(_edges, "u long, v long"), "trie-candidates")
-    order.unpersist()
-    return found
+    return components(_dealt(rows, n).mapInArrow(_edges, "u long, v long"), "trie-candidates")
 
 
 # ------------------------------------------------------------------ 3. links
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start as many as its length."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class Trie:
-    """A path-compressed prefix tree over sorted arrays of ranks.
+    """A path-compressed prefix tree over sorted arrays of ranks in the global order.
 
     Sets lie in the order of their arrays; a node is a range of them with a common beginning.
     Arrays hold the shingles that at least two sets have; ``sizes`` count all.
@@ -365,156 +391,153 @@ class Trie:
 
     def __init__(self, arrays: list[np.ndarray], sizes: np.ndarray):
         keys = [a.astype(">u4").tobytes() for a in arrays]
-        self.order = sorted(range(len(arrays)), key=keys.__getitem__)
-        self.arrays = [arrays[k] for k in self.order]
+        self.order = np.array(sorted(range(len(arrays)), key=keys.__getitem__), dtype=np.int64)
+        arrays = [arrays[k] for k in self.order]
         self.sizes = sizes[self.order]
-        common = []
-        for a, b in zip(self.arrays, self.arrays[1:]):
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
-            common.append(int(differ[0]) if len(differ) else n)
-        # Nodes bottom-up from common beginnings (as for an LCP-interval tree).
-        self.nodes: list[tuple] = []  # first, last, depth, children, (smallest size, largest size, longest array)
-        stack: list[list] = []  # [depth, first, children]
-        for i in range(len(arrays)):
-            depth = len(self.arrays[i])
-            child, first = self._add(i, i, depth, []), i
-            after = common[i] if i + 1 < len(arrays) else -1
+        lengths = np.array([len(a) for a in arrays], dtype=np.int64)
+        self.flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+        self.starts = np.cumsum(lengths) - lengths
+        nodes: list[tuple[int, int, int]] = []  # first and last set, depth
+        below: list[list[int]] = []
+        stack: list[tuple[int, int, list[int]]] = []  # depth, first, children
+        for i, a in enumerate(arrays):  # nodes from common beginnings, bottom-up as for an LCP-interval tree
+            nodes.append((i, i, len(a)))
+            below.append([])
+            child, first, after = len(nodes) - 1, i, -1
+            if i + 1 < len(arrays):
+                b = arrays[i + 1]
+                n = min(len(a), len(b))
+                differ = a[:n] != b[:n]
+                after = int(np.argmax(differ)) if differ.any() else n
             while stack and stack[-1][0] > after:
-                top = stack.pop()
-                top[2].append(child)
-                child, first = self._add(top[1], i, top[0], top[2]), top[1]
+                depth, first, children = stack.pop()
+                children.append(child)
+                nodes.append((first, i, depth))
+                below.append(children)
+                child = len(nodes) - 1
             if after >= 0:
                 if stack and stack[-1][0] == after:
                     stack[-1][2].append(child)
                 else:
-                    stack.append([after, first, [child]])
-        self.root = child if arrays else None
+                    stack.append((after, first, [child]))
+        self.root = child if arrays else -1
+        self.first, self.last, self.end = (np.array(c, dtype=np.int64) for c in (zip(*nodes, strict=True) if nodes else ((), (), ())))
+        self.n_below = np.array([len(c) for c in below], dtype=np.int64)
+        self.below_at = np.cumsum(self.n_below) - self.n_below
+        self.below = np.array([c for children in below for c in children], dtype=np.int64)
+        spans = np.stack([self.first, self.last + 1], axis=1).ravel() if nodes else np.zeros(0, dtype=np.int64)
 
-    def _add(self, first: int, last: int, depth: int, children: list[int]) -> int:
-        part = self.sizes[first : last + 1]
-        longest = max(len(a) for a in self.arrays[first : last + 1]) if not children else max(self.nodes[c][4][2] for c in children)
-        self.nodes.append((first, last, depth, children, (int(part.min()), int(part.max()), longest)))
-        return len(self.nodes) - 1
+        def over(f: np.ufunc, values: np.ndarray) -> np.ndarray:  # of each node's sets
+            return f.reduceat(np.append(values, values[-1:]), spans)[::2] if len(spans) else spans
 
-    def search(self, items: np.ndarray, size: int, mark: np.ndarray, percent: int, same) -> Iterator[int]:
-        """Positions of sets that reach the threshold with the query (``items`` sorted, marked in ``mark``).
-
-        ``same(first, last)`` tells that all sets of a range need no answer.
-        """
-        if self.root is None:
-            return
-        stack = [(self.root, 0, 0)]
-        while stack:
-            k, depth, overlap = stack.pop()
-            first, last, end, children, (small, large, longest) = self.nodes[k]
-            if small * percent > 100 * size or large * 100 < percent * size or same(first, last):
-                continue
-            need = -(-percent * (size + max(small, least_overlap(size, percent))) // (100 + percent))
-            segment = self.arrays[first][depth:end]
-            while len(segment):  # in steps, so that a subtree is left as early as its shingles allow
-                step, segment = segment[:64], segment[64:]
-                depth += len(step)
-                overlap += int(np.count_nonzero(mark[step]))
-                rest = len(items) - int(np.searchsorted(items, step[-1], side="right"))
-                if overlap + min(rest, longest - depth) < need:
-                    break
-            else:
-                if children:
-                    stack += [(c, end, overlap) for c in children]
-                    continue
-                for p in range(first, last + 1):
-                    if overlap * (100 + percent) >= percent * (size + int(self.sizes[p])):
-                        yield p
+        self.small, self.large, self.longest = over(np.minimum, self.sizes), over(np.maximum, self.sizes), over(np.maximum, lengths)
 
+    def search(self, items: np.ndarray, size: int, mark: np.ndarray, percent: int, settled: np.ndarray) -> np.ndarray:
+        """Places of sets that reach the threshold with the query (``items`` sorted, marked in ``mark``).
 
-def join_cluster(sets: list[np.ndarray], percent: int = PERCENT, hubs: int = 32) -> list[int]:
-    """For each set the first set of its component, under links between sets that reach the threshold."""
+        ``settled[k]`` counts the sets before place k that need no answer.
+        """
+        if self.root < 0:
+            return np.zeros(0, dtype=np.int64)
+        node, depth, overlap = np.array([self.root]), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        least = least_overlap(size, percent)
+        found = []
+        while len(node):
+            first, last = self.first[node], self.last[node]
+            open_ = (self.small[node] * percent <= 100 * size) & (self.large[node] * 100 >= percent * size) & (settled[last + 1] - settled[first] <= last - first)
+            node, depth, overlap = node[open_], depth[open_], overlap[open_]
+            if not len(node):
+                break
+            start = self.starts[self.first[node]]
+            stop = np.minimum(self.end[node], depth + STEP)
+            shared = np.concatenate([[0], np.cumsum(mark[self.flat[_ranges(start + depth, stop - depth)]])])
+            ends = np.cumsum(stop - depth)
+            overlap = overlap + shared[ends] - shared[ends - stop + depth]
+            depth = stop
+            rest = len(items) - np.where(depth > 0, np.searchsorted(items, self.flat[np.maximum(start + depth - 1, 0)] if len(self.flat) else 0, side="right"), 0)
+            need = -(-percent * (size + np.maximum(self.small[node], least)) // (100 + percent))
+            near = overlap + np.minimum(rest, self.longest[node] - depth) >= need
+            node, depth, overlap = node[near], depth[near], overlap[near]
+            whole = depth == self.end[node]
+            leaf = whole & (self.n_below[node] == 0)
+            place = self.first[node[leaf]]
+            found.append(place[overlap[leaf] * (100 + percent) >= percent * (size + self.sizes[place])])
+            parent = whole & ~leaf
+            n = self.n_below[node[parent]]
+            children = self.below[_ranges(self.below_at[node[parent]], n)]
+            node, depth, overlap = (np.concatenate([x[~whole], y]) for x, y in ((node, children), (depth, np.repeat(depth[parent], n)), (overlap, np.repeat(overlap[parent], n))))
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def join_sets(sets: list[np.ndarray], order: Order, percent: int = PERCENT, queries: int = 0, labels: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first set of its component, under links between sets that reach the threshold.
+
+    The last ``queries`` sets are asked of the others, but not of each other. Sets of equal
+    ``labels`` are connected beforehand.
+    """
     m = len(sets)
-    parent = list(range(m))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    if m == 2:
-        a, b = sets
-        o = len(np.intersect1d(a, b, assume_unique=True))
-        return [0, 0] if o * (100 + percent) >= percent * (len(a) + len(b)) else [0, 1]
-
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     items, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((items, counts))
-    rank = np.empty(len(items), dtype=np.int64)
-    rank[order] = np.arange(len(items))
-    shift = int(np.count_nonzero(counts < 2))
+    arranged = order.arranged(items)
+    arranged = arranged[counts[arranged] > 1]  # what one set holds matches nothing
+    rank = np.full(len(items), -1, dtype=np.int64)
+    rank[arranged] = np.arange(len(arranged))
     ranks = rank[at]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(len(items), dtype=bool)
-
-    # A few hubs connect most copies of one text before the trie is asked about what remains.
-    remaining = np.ones(m, dtype=bool)
-    idle = 0
-    for _ in range(hubs):
-        left = np.flatnonzero(remaining)
-        if len(left) < 3 or idle >= 4:
-            break
-        hub = int(left[len(left) // 2])
-        own = ranks[starts[hub] : starts[hub + 1]]
-        mark[own] = True
-        overlap = np.add.reduceat(mark[ranks], starts[:-1], dtype=np.int64)
-        mark[own] = False
-        near = np.flatnonzero(overlap * (100 + percent) >= percent * (sizes + sizes[hub]))
-        for k in near:
-            join(hub, int(k))
-        gone = int(np.count_nonzero(remaining[near]))
-        remaining[near] = False
-        idle = idle + 1 if gone < 2 else 0
-
-    root = np.array([find(k) for k in range(m)])
-    if (root == root[0]).all():
-        return root.tolist()
     arrays = []
     for k in range(m):
-        r = np.sort(ranks[starts[k] : starts[k + 1]])
-        arrays.append(r[np.searchsorted(r, shift) :] - shift)
-    trie = Trie(arrays, sizes)
-    mark = np.zeros(max(1, len(items) - shift), dtype=bool)
-    names, n = np.unique(root, return_counts=True)
-    largest = names[np.argmax(n)]
-    for k in np.flatnonzero(root != largest):  # a pair of two components has one side here
-        own = arrays[k]
-        mark[own] = True
-        me = find(int(k))
-
-        def same(first: int, last: int) -> bool:
-            return last - first < 8 and all(find(trie.order[p]) == find(me) for p in range(first, last + 1))
-
-        for p in trie.search(own, int(sizes[k]), mark, percent, same):
-            join(int(k), trie.order[p])
-        mark[own] = False
-    return [find(k) for k in range(m)]
-
-
-def _links(percent: int):
+        own = ranks[starts[k] : starts[k + 1]]
+        arrays.append(np.sort(own[own >= 0]))
+    trie = Trie(arrays[: m - queries], sizes[: m - queries])
+    mark = np.zeros(max(1, len(arranged)), dtype=bool)
+
+    label = np.arange(m)
+    if labels is not None:
+        _, first_of, which = np.unique(labels, return_index=True, return_inverse=True)
+        label = first_of[which]
+    asked = np.zeros(m, dtype=bool)
+    if queries:
+        asked[: m - queries] = True
+    by_size = np.argsort(sizes, kind="stable")
+    turn = np.concatenate([by_size[m // 2 :], by_size[: m // 2]])  # a set of middle size is connected with most copies
+    while True:
+        # A pair of two components has one side outside the largest one, and that side is asked.
+        largest = -1 if queries else int(np.argmax(np.bincount(label, minlength=m)))
+        left = turn[(~asked & (label != largest))[turn]]
+        if not len(left):
+            return label
+        _ask(trie, int(left[0]), arrays, sizes, mark, percent, label, asked)
+
+
+def _ask(trie: Trie, k: int, arrays: list[np.ndarray], sizes: np.ndarray, mark: np.ndarray, percent: int, label: np.ndarray, asked: np.ndarray) -> None:
+    """Ask the trie for the sets that link with set k, and connect them with it in ``label``."""
+    settled = np.concatenate([[0], np.cumsum(label[trie.order] == label[k])])
+    mark[arrays[k]] = True
+    for p in trie.search(arrays[k], int(sizes[k]), mark, percent, settled):
+        a, b = int(label[k]), int(label[trie.order[p]])
+        if a != b:
+            label[label == max(a, b)] = min(a, b)
+    mark[arrays[k]] = False
+    asked[k] = True
+
+
+def _links(order, percent: int):
+    """Edges between sets of a unit: those of role 0 among each other, and with those of role 1."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[tuple[int, tuple[int, int]], tuple[np.ndarray, int]] = {}
         now = None
         out: list[tuple[int, int]] = []
 
         def settle() -> None:
             keys = sorted(held)
-            for k, r in enumerate(join_cluster([held[x] for x in keys], percent)) if len(keys) > 1 else ():
-                if r != k:
-                    out.append((keys[k][0], keys[r][0]))
+            queries = sum(role for role, _ in keys)
+            if len(keys) > max(1, queries):
+                labels = np.array([held[x][1] for x in keys], dtype=np.int64)
+                for k, r in enumerate(join_sets([held[x][0] for x in keys], order.value, percent, queries, labels).tolist()):
+                    if r != k:
+                        out.append((keys[k][1][0], keys[r][1][0]))
             held.clear()
 
         def drain() -> pa.RecordBatch:
@@ -523,12 +546,12 @@ def _links(percent: int):
             return _edge_batch(u, v)
 
         for batch in batches:
-            units = batch.column("unit").to_pylist()
+            units, roles, labels = (batch.column(c).to_pylist() for c in ("unit", "role", "label"))
             for k, items in sets_of(_unpack(batch)):
                 if units[k] != now:
                     settle()
                     now = units[k]
-                held[set_hash(items)] = items
+                held[roles[k], set_hash(items)] = (items, labels[k])
             yield drain()
         settle()
         yield drain()
@@ -536,21 +559,48 @@ def _links(percent: int):
     return run
 
 
-def links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _joined(units: DataFrame, order, percent: int) -> DataFrame:
+    dealt = units.select("unit", "role", "label", "packed").repartition("unit").sortWithinPartitions("unit", "role")
+    return dealt.mapInArrow(_links(order, percent), "u long, v long")
+
+
+def links(texts: DataFrame, order, percent: int = PERCENT) -> DataFrame:
     """u, v: set hashes and the least set hash of their component, for sets (s1, n, cluster, packed) that are linked with another."""
-    weights = texts.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > UNIT_SHINGLES)
-    heavy = materialize(weights.withColumn("blocks", F.ceil(F.col("weight") * 2 / UNIT_SHINGLES).cast("int")), "trie-heavy")
-    split = heavy.limit(1).count() > 0
-    if split:
-        block = F.pmod(F.xxhash64("s1"), "blocks").cast("int")
-        partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cluster", F.least(j, block), F.greatest(j, block)))
-        joined = texts.join(heavy.select("cluster", "blocks"), "cluster", "left")
-        units = joined.withColumn("unit", F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cluster"))).otherwise(F.array_distinct(partners))))
-    else:
-        units = texts.withColumn("unit", F.xxhash64("cluster"))
-    dealt = units.select("unit", "s1", "packed").repartition("unit").sortWithinPartitions("unit", "s1")
-    found = dealt.mapInArrow(_links(percent), "u long, v long")
-    return components(found, "trie-links") if split else materialize(found, "trie-links")
+    weights = texts.groupBy("cluster").agg(F.sum(F.col("n") + SET_COST).alias("cost"), *(F.min(F.struct(F.xxhash64(F.lit(h), "s1"), "s1"))["s1"].alias(f"hub{h}") for h in range(HUBS)))
+    heavy = materialize(weights.where(F.col("cost") > UNIT_COST).withColumn("blocks", F.ceil(F.col("cost") / UNIT_COST).cast("long")), "trie-heavy")
+    alone = texts.select("cluster", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("role"), F.col("s1").alias("label"), "packed")
+    if not heavy.limit(1).count():
+        return materialize(_joined(alone, order, percent), "trie-links")
+
+    large = texts.join(heavy, "cluster")
+    block = F.pmod(F.xxhash64("s1"), "blocks")
+    own = large.select("cluster", F.xxhash64("cluster", block).alias("unit"), F.lit(0).alias("role"), F.col("s1").alias("label"), "packed")
+    is_hub = F.col("s1").isin(*(F.col(f"hub{h}") for h in range(HUBS)))
+    hubs = large.where(is_hub).dropDuplicates(["cluster", "s1"])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sent = hubs.select("cluster", "s1", "packed", every.alias("block")).select("cluster", F.xxhash64("cluster", "block").alias("unit"), F.lit(0).alias("role"), F.col("s1").alias("label"), "packed")
+    units = alone.join(heavy.select("cluster"), "cluster", "left_anti").unionByName(own).unionByName(sent)
+    first = components(_joined(units, order, percent), "trie-links")
+
+    # What the first round has left outside its cluster's largest component meets all blocks.
+    root_of = first.select(F.col("u").alias("s1"), F.col("v").alias("label"))
+    sets = large.select("cluster", "s1", "n", "blocks").dropDuplicates(["cluster", "s1"]).join(root_of, "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    sets = materialize(sets, "trie-sets-left")
+    main = sets.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
+    rest = sets.join(main, "cluster").where("label <> main").select("cluster", "s1", "n", "blocks", "label")
+    rest = materialize(rest, "trie-rest")
+    if not rest.limit(1).count():
+        return first
+    parts = materialize(rest.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + SET_COST) / UNIT_COST).cast("long").alias("parts")), "trie-rest-parts")
+    part = F.pmod(F.xxhash64("s1", F.lit(1)), "parts")
+    bodies = texts.select("cluster", "s1", "packed").join(parts, "cluster").dropDuplicates(["cluster", "s1"]).join(sets.select("cluster", "s1", "label", "blocks"), ["cluster", "s1"])
+    bodies = materialize(bodies.withColumns({"block": block, "part": part}), "trie-left")
+    asked = bodies.join(rest.select("cluster", "s1"), ["cluster", "s1"], "left_semi").select("*", every.alias("_block"))
+    asked = asked.select(F.xxhash64("cluster", "_block", "part").alias("unit"), F.lit(1).alias("role"), "label", "packed")
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    tries = bodies.select("*", every_part.alias("_part")).select(F.xxhash64("cluster", "block", "_part").alias("unit"), F.lit(0).alias("role"), "label", "packed")
+    more = _joined(tries.unionByName(asked), order, percent)
+    return components(first.unionByName(more), "trie-links")
 
 
 # ------------------------------------------------------------------ texts of clustered sets
@@ -734,7 +784,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.mapInArrow(_signatures(LOCAL_LEAST), f"doc_id {kind}, n long, s1 long, s2 long, shingle long, count long")
     signatures = materialize(signed, "trie-signatures")
-    found = links(refined(clustered_texts(docs, candidates(docs, signatures))))
+    order = global_order(signatures)
+    found = links(refined(clustered_texts(docs, candidates(docs, signatures, order))), order)
+    order.unpersist()
     own = signatures.where("n is not null").select("doc_id", "n", "s1", "s2")
 
     # Sets that stand for more than one document: repeated, or linked with another set.
