@@ -3,7 +3,7 @@
 The template names the states and transitions of the machine, the strings that mark a
 turn, and the roles under the loss. ``format_conversations`` walks the machine over the
 ordered turns of a conversation and emits text segments, each with a loss flag; texts are
-escaped so that no control string can occur inside one. ``read_back`` undoes it. Everything
+escaped, by rules derived from the template, so that no control string can occur inside one. ``read_back`` undoes it. Everything
 is a DataFrame expression: no Python runs on the executors.
 
 Rows may come in any order. Null text counts as empty and a null role as the empty role;
@@ -16,15 +16,24 @@ A conversation becomes one row, since its digests are over its whole text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters that may stand in a URL-encoded role.
+_ROLE_CHARS = re.compile(r"[A-Za-z0-9.*_+%-]")
+
+
 @dataclass(frozen=True)
 class ChatTemplate:
-    """``{role}`` in ``opening`` takes the URL-encoded role, which cannot hold a control string."""
+    """``{role}`` in ``opening`` takes the URL-encoded role, which cannot hold a control string.
+
+    The control strings are what stands before the role, and ``closing``. A template is refused
+    if turns could not be told apart in its output.
+    """
 
     opening: str = "### {role}: "
     closing: str = "</turn>\n"
@@ -34,15 +43,45 @@ class ChatTemplate:
     accepting: tuple = ("user", "assistant")
     loss_roles: tuple = ("assistant",)
 
+    def __post_init__(self):
+        if self.opening.count("{role}") != 1:
+            raise ValueError("opening needs {role} once")
+        after = self.opening.split("{role}")[1]
+        if not after or _ROLE_CHARS.match(after):
+            raise ValueError("what follows {role} must begin with a character that no encoded role holds")
+        if any(len(c) < 2 for c in self.controls):
+            raise ValueError("control strings need two characters")
+        if any(self.closing.startswith(self.closing[k:]) for k in range(1, len(self.closing))):
+            raise ValueError("closing must not overlap itself")
+
+    @property
+    def controls(self) -> tuple[str, ...]:
+        """What no formatted text may hold: without white space around, if anything is left."""
+        before = self.opening.split("{role}")[0]
+        return tuple(c.strip() or c for c in (before, self.closing) if c or c is self.closing)
+
+    @property
+    def mark(self) -> str:
+        """The escape character: one that no control string holds."""
+        return next(c for c in "\\~^`\x1b\x1a\x10" if not any(c in x for x in (*self.controls, self.closing)))
+
+
+def _literal(text: str) -> str:
+    """``text`` as a regular expression of the JVM."""
+    return re.sub(r"([^A-Za-z0-9\s])", r"\\\1", text)
+
 
-def escape(text: Column) -> Column:
-    r"""Double each backslash, then break ``###`` and ``</turn>`` with one: ``#\##``, ``<\/turn>``."""
-    doubled = F.regexp_replace(text, r"\\", r"\\\\")
-    return F.regexp_replace(doubled, r"(#(?=##)|<(?=/turn>))", r"$1\\")
+def escape(text: Column, template: ChatTemplate = ChatTemplate()) -> Column:
+    r"""Double each mark, then put one behind the first character of each control string: ``#\##``, ``<\/turn>``."""
+    mark = template.mark
+    text = F.replace(text, F.lit(mark), F.lit(mark * 2))
+    for control in template.controls:
+        text = F.regexp_replace(text, f"{_literal(control[0])}(?={_literal(control[1:])})", (_literal(control[0]) if control[0] in "\\$" else control[0]) + _literal(mark))
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, template: ChatTemplate = ChatTemplate()) -> Column:
+    return F.regexp_replace(text, f"(?s){_literal(template.mark)}(.)", "$1")
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -79,7 +118,7 @@ def format_conversations(conversations: DataFrame, template: ChatTemplate = Chat
         marked = F.concat(F.lit(before), F.url_encode(turn["role"]), F.lit(after))
         return F.array(
             F.struct(marked.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(turn["text"]).alias("text"), turn["role"].isin(*template.loss_roles).alias("loss")),
+            F.struct(escape(turn["text"], template).alias("text"), turn["role"].isin(*template.loss_roles).alias("loss")),
             F.struct(F.lit(template.closing).alias("text"), F.lit(False).alias("loss")),
         )
 
@@ -97,16 +136,16 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
     before, after = template.opening.split("{role}")
 
     joined = formatted.select("conv_id", "valid", "error_at", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
-    parts = F.split(F.col("formatted"), F.lit(template.closing), -1)
+    parts = F.split(F.col("formatted"), F.lit(_literal(template.closing)), -1)
     body = F.slice(parts, 1, F.size(parts) - 1)
 
     def turn(part: Column) -> Column:
         at = F.instr(part, F.lit(after))
         role = F.url_decode(F.substring(part, F.lit(len(before) + 1), at - len(before) - 1))
         text = F.substring(part, at + len(after), F.length(part))
-        return F.struct(role.alias("role"), unescape(text).alias("text"))
+        return F.struct(role.alias("role"), unescape(text, template).alias("text"))
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
     return joined.select("conv_id", "valid", "error_at", "formatted", F.transform(body, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
 
 
