@@ -8,7 +8,7 @@ verified twice: before records are taken for equal their length, SHA-1 and a thi
 agree too, and the reader computes the digests anew from the stored bytes.
 
 ``reconstruct`` joins the two tables into the bytes of the original WARC records; ``parse``
-takes such bytes apart. All of it is DataFrame expressions. A popular payload is a hot key
+takes such bytes apart, and ``records`` reads every field and digest from them alone. All of it is DataFrame expressions. A popular payload is a hot key
 only in an aggregation with partial sums and in a plain equi-join, whose skewed partitions
 Spark splits; payload bytes are never grouped.
 
@@ -92,12 +92,19 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str =
 
     # A payload is stored by its first record; for payloads below min_bytes one record stands for all.
     later = marked.join(first.select("digest", "first_id"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "digest").distinct()
-    stored = records.select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
-    stored = stored.join(later, stored["page_id"].eqNullSafe(later["page_id"]) & (stored["digest"] == later["digest"]), "left_anti")
-    repeated = marked.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:  # rows that repeat a page: one of them stores the payload
-        stored = stored.dropDuplicates(["digest"])
-    stored.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    repeated = materialize(marked.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id", "digest"), "warc-repeated")
+    all_bytes = records.select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
+
+    def same(rows: DataFrame, keys: DataFrame) -> Column:
+        return rows["page_id"].eqNullSafe(keys["page_id"]) & (rows["digest"] == keys["digest"])
+
+    some = repeated.limit(1).count() > 0
+    not_here = later.unionByName(repeated).distinct() if some else later
+    stored = all_bytes.join(not_here, same(all_bytes, not_here), "left_anti").select("digest", "payload")
+    if some:  # of rows that repeat the page that stores a payload, one does; no other payload moves for it
+        first_ids = repeated.join(later, repeated["page_id"].eqNullSafe(later["page_id"]) & (repeated["digest"] == later["digest"]), "left_anti")
+        stored = stored.unionByName(all_bytes.join(first_ids, same(all_bytes, first_ids), "left_semi").select("digest", "payload").dropDuplicates(["digest"]))
+    stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -105,10 +112,14 @@ def read_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record binary: the original records, each header joined with its payload (none in a revisit's block)."""
+    """page_id, record binary: the original records, each header joined with its payload by digest.
+
+    A revisit's block holds no payload, so revisits, however many, do not meet the stored bytes.
+    """
     headers, payloads = read_archive(spark, folder)
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(payloads, "digest").select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    end = F.lit(b"\r\n\r\n")
+    whole = headers.where("record_type = 'response'").join(payloads, "digest").select("page_id", F.concat("header", "payload", end).alias("record"))
+    return whole.unionByName(headers.where("record_type <> 'response'").select("page_id", F.concat("header", end).alias("record")))
 
 
 def _field(header: Column, name: str) -> Column:
@@ -116,24 +127,48 @@ def _field(header: Column, name: str) -> Column:
     return F.when(header.rlike(rf"(?md)^{name}: "), found)
 
 
+#: Bytes of a record that hold its two heads; a longer URL makes a record be searched whole.
+HEAD_BYTES = 1 << 14
+
+
 def parse(record: Column) -> dict[str, Column]:
-    """Columns with the fields and the payload of record bytes."""
-    text = F.decode(record, "ISO-8859-1")
+    """Columns with the fields and the payload of record bytes; ``whole`` tells that the block has the length that its header states."""
+    first = F.decode(F.substring(record, 1, HEAD_BYTES), "ISO-8859-1")
+    two_heads = F.size(F.split(first, "\r\n\r\n", 3)) > 2
+    text = F.when(two_heads, first).otherwise(F.decode(record, "ISO-8859-1"))
     head = F.substring_index(text, "\r\n\r\n", 1)
-    http = F.substring_index(F.substring(text, F.length(head) + 5, F.length(text)), "\r\n\r\n", 1)
-    start = F.length(head) + 4 + F.length(http) + 4
+    heads = F.substring_index(text, "\r\n\r\n", 2)
+    block = F.octet_length(record) - F.length(head) - 8
     return {
         "record_type": _field(head, "WARC-Type"),
-        "payload": F.substring(record, start + 1, F.octet_length(record) - start - 4),
+        "record_id": _field(head, "WARC-Record-ID"),
+        "payload_digest": _field(head, "WARC-Payload-Digest"),
+        "refers_to": F.decode(F.encode(_field(head, "WARC-Refers-To-Page"), "ISO-8859-1"), "UTF-8"),
+        "payload": F.substring(record, F.length(heads) + 5, F.octet_length(record) - F.length(heads) - 8),
+        "whole": (block.cast("string") == _field(head, "Content-Length")) & (F.substring(record, -4, 4) == F.lit(b"\r\n\r\n")),
     }
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to read back: fields from the headers, digests from the stored bytes."""
-    headers, payloads = read_archive(spark, folder)
-    fresh = [c.alias(f"read_{n}") for c, n in zip(digests(F.col("payload")), ("digest", "sha1", "n_bytes"), strict=True)]
-    checked = payloads.select("digest", *fresh)
-    checked = checked.select("digest", F.when(F.col("digest") == F.col("read_digest"), F.col("read_sha1")).otherwise(F.raise_error(F.lit("stored payload does not match its digest"))).alias("sha1"), F.col("read_n_bytes").alias("n_bytes"))
-    text = F.decode(F.col("header"), "UTF-8")
-    fields = headers.select("digest", "page_id", _field(text, "WARC-Type").alias("record_type"), _field(text, "WARC-Refers-To-Page").alias("refers_to"))
-    return fields.join(checked, "digest").select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.col("refers_to"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the bytes of the reconstructed records.
+
+    A response's digests are computed anew from the payload in its record, which must be what
+    its header states; a revisit has those of the response that it refers to.
+    """
+    made = reconstruct(spark, folder)
+    fields = parse(F.col("record"))
+    read = made.select("page_id", *(c.alias(n) for n, c in fields.items()))
+    sha1 = base32(F.upper(F.sha1("payload")))
+    response = F.col("record_type") == "response"
+    damaged = F.raise_error(F.lit("a record's bytes do not match its header"))
+    fits = F.col("whole") & (~response | (F.concat(F.lit("sha1:"), F.col("computed")) == F.col("payload_digest")))
+    read = read.select("page_id", "record_type", "refers_to", "whole", "payload_digest", sha1.alias("computed"), F.octet_length("payload").cast("long").alias("n_bytes"))
+    read = read.select("page_id", "record_type", "refers_to", F.when(fits, F.substring("payload_digest", 6, 32)).otherwise(damaged).alias("payload_digest"), "n_bytes")
+    read = materialize(read, "warc-read")  # without payloads
+    responses = read.where("record_type = 'response'").select("page_id", "n_bytes", "payload_digest", "record_type", "refers_to")
+    revisits = read.where("record_type <> 'response'")
+    known = responses.select(F.col("page_id").cast("string").alias("refers_to"), F.col("payload_digest").alias("first_digest"), F.col("n_bytes").alias("first_bytes")).distinct()
+    same = F.when(F.col("first_digest") == F.col("payload_digest"), F.col("first_digest")).otherwise(F.raise_error(F.lit("a revisit refers to another payload")))
+    again = revisits.join(known, "refers_to").select("page_id", F.col("first_bytes").alias("n_bytes"), same.alias("payload_digest"), "record_type", "refers_to")
+    found = responses.unionByName(again)
+    return found.select("page_id", F.col("n_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
