@@ -58,7 +58,9 @@ _PAIRS = frozenset(
 )
 #: Most rare pairs, and rare pairs and capitals after a small letter together, in a window of letters like words (random letters: about 7 and 10).
 RARE, BREAKS = 2, 5
-_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: c log2(c) in fixed point, so that sums over a text of any length stay exact.
+_ONE = 1 << 40
+_TERM = [0] + [round(c * math.log2(c) * _ONE) for c in range(1, WINDOW + 1)]
 
 
 def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -67,8 +69,9 @@ def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     not_hex = [c not in CLASSES[0][1] for c in text]
     not_upper = [c not in upper for c in text]
     counts: dict[str, int] = {}
-    total, outside_hex, outside_upper = 0.0, 0, 0
+    total, outside_hex, outside_upper = 0, 0, 0
     spans: list[tuple[int, int]] = []
+    most, scale = math.log2(window), window * _ONE
     for i, c in enumerate(text):
         if i >= window:
             old = text[i - window]
@@ -83,7 +86,7 @@ def _entropy_windows(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
         outside_hex += not_hex[i]
         outside_upper += not_upper[i]
         if i >= window - 1:
-            bits = math.log2(window) - total / window
+            bits = most - total / scale
             level = CLASSES[0][2] if not outside_hex else CLASSES[1][2] if not outside_upper else CLASSES[2][2]
             if bits >= level:
                 low = i - window + 1
@@ -134,32 +137,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The pieces of start:end that no base span covers; ``base`` in order."""
-    pieces = []
-    for s, _, e in base:
-        if s >= end:
-            break
-        if s > start:
-            pieces.append((start, s))
-        start = max(start, e)
-    if start < end:
-        pieces.append((start, end))
-    return pieces
+def _uncovered(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The pieces of ``spans`` that no base span covers; both in order, merged in one pass."""
+    k, upto = 0, 0  # base spans passed, and where the last of them ends
+    for start, end in spans:
+        while k < len(base) and base[k][0] <= start:
+            upto = max(upto, base[k][2])
+            k += 1
+        start = max(start, min(end, upto))
+        while k < len(base) and base[k][0] < end:
+            if base[k][0] > start:
+                yield start, base[k][0]
+            upto = max(upto, base[k][2])
+            start = max(start, min(end, upto))
+            k += 1
+        if start < end:
+            yield start, end
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with those of the entropy scan."""
     base = base_spans(text)
-    more = []
+    random = []
     for m in CANDIDATE.finditer(text):
-        if UUID.fullmatch(m.group()):
-            continue
-        for low, high in _entropy_windows(m.group()):
-            if allowed(m.group()[low:high]):
-                continue
-            more += [(s, 3, e) for s, e in _uncovered(m.start() + low, m.start() + high, base)]
-    return base, sorted(base + more)
+        if not UUID.fullmatch(m.group()):
+            random += [(m.start() + low, m.start() + high) for low, high in _entropy_windows(m.group()) if not allowed(m.group()[low:high])]
+    return base, sorted(base + [(s, 3, e) for s, e in _uncovered(random, base)])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
