@@ -7,13 +7,15 @@ name by one rename and the driver writes a manifest of the archives that were co
 a task that was lost or ran twice leaves nothing that is read.
 
 The data source ``media_archive`` plans byte-range partitions over the archives of a manifest:
-the driver looks at their sizes alone. The task of a range reads the archive's directory,
-takes the members that start in the range, and streams batches through Arrow. Each member is
+the driver looks at their sizes alone. Beside each archive lies its index, an entry of fixed
+size per member (offset, size, checksum); the task of a range finds its slice of the index by
+bisection, reads that slice alone, and streams batches through Arrow. Each member is
 read by its own offset and tried again alone, with the archive opened anew, when a read fails
 or a checksum is wrong; after ``retries`` the task fails, or, with ``on_error=row``, the
 member's row carries the error and no payload.
 
-Null text counts as empty, which gives 64 zero bytes. Repeated rows are members of their own;
+Ids travel as text in member names, percent-encoded; ``media_features`` casts them to the type
+that it is told. Null text counts as empty, which gives 64 zero bytes. Repeated rows are members of their own;
 equal texts give equal images and features. An empty table gives an empty archive folder and
 an empty result. Columns other than doc_id and text are ignored.
 """
@@ -29,6 +31,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ WIDTH = 64
 RANGE_BYTES = 8 << 20
 ARCHIVE_BYTES = 1 << 30
 MANIFEST = "manifest.json"
+#: An index entry: offset of the member, size and checksum of its image.
+_ENTRY = struct.Struct("<QQI")
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -116,11 +121,14 @@ def _write_task(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     fs, root = _filesystem(folder)
     done: list[tuple[str, int, int]] = []
     archive, sink, name, members = None, None, "", 0
+    index = bytearray()
 
     def close() -> None:
         nonlocal archive
         archive.close()
         sink.close()
+        with fs.open_output_stream(f"{root}/{name}.index") as out:
+            out.write(bytes(index))
         fs.move(f"{root}/.{name}", f"{root}/{name}")
         done.append((name, fs.get_file_info(f"{root}/{name}").size, members))
         archive = None
@@ -129,10 +137,13 @@ def _write_task(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         for key, text in zip(batch.column("doc_id").to_pylist(), text_array(batch.column("text")).to_pylist(), strict=True):
             if archive is None:
                 name, members = f"{uuid.uuid4().hex}.zip", 0
+                index.clear()
                 sink = fs.open_output_stream(f"{root}/.{name}")
                 archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
-            info = zipfile.ZipInfo(f"{members:08d}/{'' if key is None else key}.png")
-            archive.writestr(info, encode_png(text.encode("utf-8", "surrogatepass")))
+            info = zipfile.ZipInfo(f"{members:08d}.png" if key is None else f"{members:08d}/{quote(str(key), safe='')}.png")
+            image = encode_png(text.encode("utf-8", "surrogatepass"))
+            archive.writestr(info, image)
+            index += _ENTRY.pack(info.header_offset, len(image), zlib.crc32(image))
             members += 1
             if sink.tell() >= ARCHIVE_BYTES:
                 close()
@@ -154,23 +165,18 @@ def write_archives(documents: DataFrame, folder: str) -> int:
     return sum(r.members for r in rows)
 
 
+def _id_of(member: str) -> str | None:
+    """The id in a member's name; null where it has none."""
+    number, has_id, name = member.partition("/")
+    return unquote(name.removesuffix(".png")) if has_id else None
+
+
 class _Range(InputPartition):
     def __init__(self, name: str, low: int, high: int):
         super().__init__((name, low, high))
         self.name, self.low, self.high = name, low, high
 
 
-class _Seekable:
-    """The part of a file object that ``zipfile`` needs, over a random-access file."""
-
-    def __init__(self, file):
-        self.file = file
-        self.read, self.seek, self.tell, self.close = file.read, file.seek, file.tell, file.close
-
-    def seekable(self) -> bool:
-        return True
-
-
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
@@ -185,35 +191,56 @@ class MediaReader(DataSourceReader):
             archives = [json.loads(x) for x in lines.read().decode().splitlines()]
         return [_Range(name, low, min(low + self.range_bytes, size)) for name, size, _ in archives for low in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
 
-    def _open(self, name: str):
+    def _open(self, name: str) -> pa.NativeFile:
         fs, root = _filesystem(self.folder)
-        return _Seekable(fs.open_input_file(f"{root}/{name}"))
-
-    def _member(self, file, info: zipfile.ZipInfo) -> bytes:
-        file.seek(info.header_offset)
+        return fs.open_input_file(f"{root}/{name}")
+
+    def _slice(self, part: _Range) -> list[tuple[int, int, int]]:
+        """(offset, size, checksum) of the members that start in the range."""
+        with self._open(f"{part.name}.index") as index:
+            n = index.size() // _ENTRY.size
+
+            def first(offset: int) -> int:
+                low, high = 0, n
+                while low < high:
+                    middle = (low + high) // 2
+                    index.seek(middle * _ENTRY.size)
+                    if _ENTRY.unpack(index.read(_ENTRY.size))[0] < offset:
+                        low = middle + 1
+                    else:
+                        high = middle
+                return low
+
+            start, stop = first(part.low), first(part.high)
+            index.seek(start * _ENTRY.size)
+            return list(_ENTRY.iter_unpack(index.read((stop - start) * _ENTRY.size)))
+
+    def _member(self, file: pa.NativeFile, entry: tuple[int, int, int]) -> tuple[str, bytes]:
+        """Name and bytes of a member."""
+        offset, size, crc = entry
+        file.seek(offset)
         head = file.read(30)
         if head[:4] != b"PK\x03\x04":
-            raise OSError(f"no member at {info.header_offset}")
+            raise OSError(f"no member at {offset}")
         name_len, extra_len = struct.unpack("<HH", head[26:30])
-        file.seek(info.header_offset + 30 + name_len + extra_len)
-        image = file.read(info.compress_size)
-        if len(image) != info.file_size or zlib.crc32(image) != info.CRC:
-            raise OSError(f"member at {info.header_offset} is damaged")
-        return image
+        name = file.read(name_len).decode()
+        file.seek(offset + 30 + name_len + extra_len)
+        image = file.read(size)
+        if len(image) != size or zlib.crc32(image) != crc:
+            raise OSError(f"member at {offset} is damaged")
+        return name, image
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.name:
             return
         file = self._open(part.name)
-        with zipfile.ZipFile(file) as archive:
-            members = [i for i in archive.infolist() if part.low <= i.header_offset < part.high]
         rows: list[tuple] = []
         held = 0
-        for info in sorted(members, key=lambda i: i.header_offset):
-            image = samples = n_bytes = error = None
+        for entry in self._slice(part):
+            name = image = samples = n_bytes = error = None
             for attempt in range(self.retries + 1):
                 try:
-                    image = self._member(file, info)
+                    name, image = self._member(file, entry)
                     samples, n_bytes = decode_png(image)
                     error = None
                     break
@@ -223,7 +250,7 @@ class MediaReader(DataSourceReader):
                         raise
                     file = self._open(part.name)
             digest = None if samples is None else hashlib.sha256(image).hexdigest()
-            rows.append((info.filename, info.header_offset, n_bytes, samples, None if samples is None else len(image), digest, error))
+            rows.append((name, entry[0], n_bytes, samples, None if samples is None else len(image), digest, error))
             held += len(samples or b"")
             if held >= self.batch_bytes:
                 yield _batch(rows)
@@ -273,16 +300,19 @@ _OUT = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256
 
 
 def media_features(media: DataFrame, id_type: str = "long") -> DataFrame:
-    """doc_id and the digests and features of each member that was read."""
+    """doc_id, cast to ``id_type``, and the digests and features of each member; null features where it could not be read."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload = None
-            keys = [m.partition("/")[2].removesuffix(".png") or None for m in batch.column("member").to_pylist()]
+            keys = [None if m is None else _id_of(m) for m in batch.column("member").to_pylist()]
             payloads = batch.column("payload")
             rows = []
             for k, (n, size, digest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media_bytes", "media_sha256")), strict=True)):
+                if not payloads[k].is_valid:
+                    rows.append((None,) * len(_OUT))
+                    continue
                 payload = memoryview(payloads[k].as_buffer())
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature(payload)))
             values = list(zip(*rows, strict=True)) or [()] * len(_OUT)

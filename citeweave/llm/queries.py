@@ -62,8 +62,9 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "media")
-    media_archive.write_archives(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
-    return media_archive.media_features(media_archive.read_archives(spark, folder))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    media_archive.write_archives(documents, folder)
+    return media_archive.media_features(media_archive.read_archives(spark, folder), documents.schema["doc_id"].dataType.simpleString())
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
