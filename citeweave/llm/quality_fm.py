@@ -9,7 +9,8 @@ the document's id are never features.
 
 Training: at most ``TRAIN_LIMIT`` labelled documents (those with the smallest hash of their
 id, so the choice does not depend on the layout), none of the held-out fold, fitted by
-AdaGrad on the driver; the model's size is fixed. Scoring reads every text whole, in a task
+AdaGrad on the driver; the model's size is fixed. Where ids repeat with different texts, the
+limit holds for the texts, and repeated rows count once. Scoring reads every text whole, in a task
 of its own, without a shuffle.
 
 Null and empty texts are scored as texts without words. Without any usable label the model
@@ -184,7 +185,10 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) ->
     chosen = usable.distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality").limit(limit)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` pairs of numbers
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = rows.select("doc_id", "quality", "text").mapInArrow(_feature_rows, f"doc_id {kind}, quality int, idx binary, val binary, stat binary").limit(2 * limit).collect()
+    made = rows.select("doc_id", "quality", "text").mapInArrow(_feature_rows, f"doc_id {kind}, quality int, idx binary, val binary, stat binary")
+    # Rows that repeat count once; of ids with many texts, the first in an order of the rows themselves are taken.
+    once = made.distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality", "stat", "idx", "val")
+    found = once.limit(limit).collect()
     found.sort(key=lambda r: (str(r.doc_id), r.quality, bytes(r.stat)))
     parts = [(np.frombuffer(r.idx, np.uint16).astype(np.int64), np.frombuffer(r.val, np.float32).astype(np.float64), np.frombuffer(r.stat, np.float64)) for r in found]
     return fit(parts, np.array([r.quality for r in found], dtype=np.float64))
