@@ -156,9 +156,12 @@ def test_join_equals_brute_force(spark):
 
 
 def test_split_and_refined_clusters(spark, monkeypatch):
-    monkeypatch.setattr(trie_join, "UNIT_SHINGLES", 600)
+    monkeypatch.setattr(trie_join, "UNIT_COST", 600)
+    monkeypatch.setattr(trie_join, "SET_COST", 20)
     monkeypatch.setattr(trie_join, "REFINE_SHINGLES", 300)
-    rows = list(enumerate(near_copies(9, 40, 60) + near_copies(10, 10, 60)))
+    passage = " ".join(f"p{k}" for k in range(60))
+    shared = [passage + " " + " ".join(f"u{j}x{k}" for k in range(12 + j % 9)) for j in range(30)]  # one candidate cluster, some links
+    rows = list(enumerate(near_copies(9, 40, 60) + near_copies(10, 10, 60) + shared))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in trie_join.near_duplicates(df).collect()], key=str)
     assert got == brute_components(rows)
@@ -172,7 +175,10 @@ def test_trie_finds_all_pairs():
         for _ in range(12):
             kept = set(base) - set(rng.sample(base, rng.randrange(0, 14))) | set(rng.sample(range(400, 900), rng.randrange(0, 8)))
             sets.append(np.unique(np.array(sorted(kept), dtype=np.uint64)))
-        found = trie_join.join_cluster(sets, hubs=trial % 3)
+        table = np.unique(np.array(rng.sample(range(900), 100 * (trial % 3)), dtype=np.int64))
+        order = trie_join.Order(table, np.array([rng.randrange(9) for _ in table], dtype=np.int64))
+        found = trie_join.join_sets(sets, order).tolist()
+        split = trie_join.join_sets(sets + sets[:5], order, queries=5, labels=np.array([*range(12), *range(5)])).tolist()
         up = list(range(12))
 
         def find(x, up=up):
@@ -187,6 +193,35 @@ def test_trie_finds_all_pairs():
                     x, y = find(a), find(b)
                     up[max(x, y)] = min(x, y)
         assert found == [find(k) for k in range(12)]
+        for a in range(5):  # asked of a trie: the links of the query, and no others
+            for b in range(12):
+                if len(np.intersect1d(sets[a], sets[b])) * 180 >= 80 * (len(sets[a]) + len(sets[b])):
+                    assert split[12 + a] == split[a] == split[b]
+        assert all(found[a] == found[b] for a in range(12) for b in range(12) if split[a] == split[b])
+
+
+def test_all_links_come_from_the_trie(spark, monkeypatch):
+    sets = [np.arange(k, k + 50, dtype=np.uint64) for k in range(3)]
+    order = trie_join.Order(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    assert trie_join.join_sets(sets[:2], order).tolist() == [0, 0] and trie_join.join_sets(sets, order).tolist() == [0, 0, 0]
+    monkeypatch.setattr(trie_join.Trie, "search", lambda self, *_: np.zeros(0, dtype=np.int64))
+    assert trie_join.join_sets(sets[:2], order).tolist() == [0, 1] and trie_join.join_sets(sets, order).tolist() == [0, 1, 2]
+
+
+def test_a_group_of_near_copies_is_linear():
+    """Most sets of a group are never asked: one query connects what it links with."""
+    rng = random.Random(6)
+    base = rng.sample(range(10**6), 200)
+    sets = [np.unique(np.array([x for x in base if rng.random() > 0.03], dtype=np.uint64)) for _ in range(400)]
+    order = trie_join.Order(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    asked = []
+    search = trie_join.Trie.search
+    trie_join.Trie.search = lambda self, *a: asked.append(1) or search(self, *a)
+    try:
+        assert set(trie_join.join_sets(sets, order).tolist()) == {0}
+    finally:
+        trie_join.Trie.search = search
+    assert len(asked) < 5
 
 
 # ------------------------------------------------------------------ 3 chat
@@ -420,14 +455,13 @@ def test_phrases_do_not_depend_on_the_offset():
 
 def test_packing(spark):
     rng = random.Random(10)
-    texts = [None, "", "same", "same", " ".join("word" for _ in range(3000)), "<|endoftext|>"] + [" ".join(rng.choice(["the", "of", "thing", "élan"]) for _ in range(rng.randrange(1, 900))) for _ in range(80)]
-    df = docs(spark, *texts, ids=[*range(len(texts))]).unionByName(docs(spark, "same", ids=[2]))
+    texts = [None, "", "same", "same", " ".join("word" for _ in range(3000)), "<|endoftext|>", " " * 1_000_000, "a<|endoftext|> b\u3000\x85 東京 don't  \n x"] + [" ".join(rng.choice(["the", "of", "thing", "élan"]) for _ in range(rng.randrange(1, 900))) for _ in range(80)]
+    df = docs(spark, *texts, ids=[*range(len(texts))]).unionByName(docs(spark, "same", ids=[2])).withColumns({"length": F.lit("clash"), "bucket": F.lit(1), "sequence_id": F.lit(None)})
     path = queries.tokenizer_path()
     rows = best_fit.pack(df, path).collect()
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     by, sequences = {}, {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -447,9 +481,9 @@ def test_packing(spark):
         assert at <= 1024
     total = sum(r.length for r in rows)
     assert len(sequences) <= 1.05 * -(-total // 1024) + 1
-    unique = docs(spark, *texts[4:12])
+    unique = docs(spark, *texts[4:14])
     whole = best_fit.sequences(unique, best_fit.pack(unique, path), path).collect()
-    assert sum(len(r.ids) for r in whole) == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in texts[4:12])
+    assert sum(len(r.ids) for r in whole) == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in texts[4:14])
     assert best_fit.pack(df.limit(0), path).count() == 0
 
 
@@ -495,7 +529,7 @@ def test_media(spark, tmp_path):
     folder = f"file://{tmp_path}/media"
     assert media_archive.write_archives(docs(spark, *texts).repartition(3), folder) == len(texts)
     media = media_archive.read_archives(spark, folder, rangeBytes="200")
-    rows = {r.doc_id: r for r in media_archive.media_features(media).collect()}
+    rows = {r.doc_id: r for r in media_archive.media_features(media, "long").collect()}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
@@ -504,6 +538,12 @@ def test_media(spark, tmp_path):
         r = rows[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(image), hashlib.sha256(image).hexdigest())
     assert rows[5].feature == rows[6].feature and len(rows) == len(texts)
+    names = ["", "a/b.png", "é ü", None, "\0", "x" * 300]
+    named = spark.createDataFrame([(i, i) for i in names], "doc_id string, text string").withColumn("payload", F.lit(1))
+    other = f"file://{tmp_path}/named"
+    media_archive.write_archives(named, other)
+    back = media_archive.media_features(media_archive.read_archives(spark, other, rangeBytes="100"), "string").collect()
+    assert {(r.doc_id, r.n_bytes) for r in back} == {(i, len((i or "").encode())) for i in names} and len(back) == len(names)
     empty = f"file://{tmp_path}/none"
     assert media_archive.write_archives(docs(spark, "x").limit(0), empty) == 0 and media_archive.read_archives(spark, empty).count() == 0
 
@@ -521,11 +561,11 @@ def test_media_errors_and_retries(spark, tmp_path):
     calls = []
     whole = reader._member
 
-    def flaky(file, info):
-        calls.append(info.header_offset)
-        if calls.count(info.header_offset) == 1:
+    def flaky(file, entry):
+        calls.append(entry[0])
+        if calls.count(entry[0]) == 1:
             raise OSError("gone")
-        return whole(file, info)
+        return whole(file, entry)
 
     reader._member = flaky
     (part,) = reader.partitions()
