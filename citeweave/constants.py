@@ -144,6 +144,47 @@ STYLES = {  # style: (segmentation family, parser profile, citation style, local
     "vancouver": ("numeric", "vancouver", "vancouver", "en-US"),
 }
 
+# ---- fixed values: shapes of the lines of a reference list
+COMMA_AUTHOR = (
+    rf"(?:{AUTHOR_TOKEN}|(?:{AUTHOR_PARTICLE}\s+{AUTHOR_TOKEN}(?:\s+{AUTHOR_TOKEN})?|{AUTHOR_TOKEN}\s+{AUTHOR_PARTICLE}\s+{AUTHOR_TOKEN}(?:\s+{AUTHOR_TOKEN})?))"
+    r",\s*(?:(?:[A-Z]\.\s*){1,4}|[A-Z][A-Za-z\-]+\s*,?\s*)"
+)
+PLAIN_AUTHOR = rf"(?:{AUTHOR_TOKEN}(?:\s+{AUTHOR_TOKEN}){{0,2}})\s+[A-Z](?:[A-Z\-\. ]{{0,18}})"
+LINE_SHAPES = {
+    "comma_author": rf"(?i)^\s*{COMMA_AUTHOR}",
+    "plain_author": rf"^\s*{PLAIN_AUTHOR}",
+    "year": YEAR,
+    "web_date": f"(?i){WEB_DATE}",
+    "strong": f"(?i){STRONG_MARK}",
+    "separator_end": r"(?i)(?:,|&|\band\b)\s*$",
+    "year_end": r"\(\s*(?:19|20)\d{2}[a-z]?\s*\)\.\s*$",
+    "link_end": r"(?i)(doi:\s*\S+|https?://\S+|www\.\S+)\s*$",
+    "full_stop": r"\.$",
+    "undated": r"(?i)\(n\.d\.\)|z\.d\.",
+    "organization": r"^\s*[A-Za-z0-9][^\n]{4,}$",
+    "organization_year": r"(?i)^\s*[A-Za-z0-9][^\n]{0,80}\(\s*(?:19|20)\d{2}[a-z]?(?:\s*,|\s*\))",
+    "url_only": r"(?i)^\s*(?:https?://|www\.)\S+\s*$",
+    "url_start": r"(?i)^(?:https?://|www\.)\S+",
+    "url": r"(?i)(?:https?://|www\.)\S+",
+    "doi_only": r"(?i)^\s*(?:doi:\s*)?(?:https?://(?:dx\.)?doi\.org/)?10\.\d{4,9}/\S+\s*$",
+    "retrieval": r"(?i)^\s*(?:retrieved|accessed|opgehaald|geraadpleegd)\b",
+    "journalish": r"(?i)\b(?:\d+\(\d+\)|pp?\.\s*\d|vol\.?|volume|issue|journal|press|publisher|https?://|doi:|10\.)",
+    "title_led": r"(?i)^\s*(?:[\"“”']?[A-Z][^.!?]{8,120}\.)\s+[A-Z][A-Za-zÀ-ÖØ-öø-ÿ'`\-]+",
+    "numeric_start": r"(?i)^\s*(?:\[(?:\d+|[ivxlcdm]+)\]|(?:\d+|[ivxlcdm]+)[\.\)])\s+",
+    "lower_start": r"^\s*(?:and|or|en|of|van|von|der|den|de|het|the)\b",
+    "journal_start": r"^\s*[A-Z][A-Za-zÀ-ÖØ-öø-ÿ0-9&'`\-:/ ]{3,120},\s*\d",
+    "volume_start": r"(?i)^\s*(?:vol\.?\s*\d+|\d+\s*(?:\(\d+\))?[,;:]\s*(?:\d+|[A-Z]?\d+|Article\b))",
+    "article_number": r"(?i)\b(?:article|e)\s*[A-Za-z]?\d+\b",
+    "report_tail": r"(?i)^\s*(?:final\s+report|report|part\s+\d+)\b.*(?:https?://|www\.)",
+    "volume_inside": r"\b\d+\s*(?:\(\d+\))?[,;:]\s*\d",
+    "marker": r"(?i)^(?:\[(?:\d+|[ivxlcdm]+)\]|(?:\d+|[ivxlcdm]+)[\.\)]|[*•·])\s+",
+    "numbered": f"(?i){NUMBERED_LINE}",
+    "bullet": BULLET_LINE,
+    "profile_numbered": PROFILE_NUMBERED,
+    "profile_dated": PROFILE_AUTHOR_YEAR,
+    "profile_notes": PROFILE_NOTES,
+}
+
 # ---- fixed values: limits
 MAX_REFERENCES = 1000
 MAX_PASTED_CHARS = 120_000

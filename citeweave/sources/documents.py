@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,14 +144,19 @@ def register_pdf_backend(read_words: Callable[[bytes], list[list[dict]]]) -> Non
 
 
 def word_rows(words: list[dict], tolerance: float = 3.0) -> list[list[dict]]:
-    """Words in rows by their tops, each row from left to right."""
-    rows: list[list[dict]] = []
-    for w in sorted(words, key=lambda w: (w["top"], w["x0"])):
-        if rows and abs(statistics.median(v["top"] for v in rows[-1]) - w["top"]) <= tolerance:
-            rows[-1].append(w)
-        else:
-            rows.append([w])
-    return [sorted(r, key=lambda w: w["x0"]) for r in rows]
+    """Words in rows, each from left to right: a row ends where the next top is more than ``tolerance`` lower, or the row would be twice as high."""
+    if not words:
+        return []
+    tops = np.array([w["top"] for w in words], dtype=float)
+    order = np.argsort(tops, kind="stable")
+    heights = tops[order]
+    row = np.concatenate([[0], np.cumsum(np.diff(heights) > tolerance)])
+    first = heights[np.searchsorted(row, row)]
+    place = list(zip(row.tolist(), np.floor((heights - first) / (2 * tolerance)).tolist(), strict=True))
+    rows: dict[tuple, list[dict]] = {}
+    for k, at in zip(order.tolist(), place, strict=True):
+        rows.setdefault(at, []).append(words[k])
+    return [sorted(r, key=lambda w: w["x0"]) for r in rows.values()]
 
 
 def column_split(rows: list[list[dict]], width: float, least_rows: int = 8, bucket: float = 12.0) -> float | None:

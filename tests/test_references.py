@@ -156,3 +156,26 @@ def test_line_features(spark):
     r = segment.marker_modes(lines).first()
     assert (r.numbered, r.bulleted, r.marker_mode) == (2, 1, "numbered")
     assert segment.line_features(lines).where(F.col("has_strong_marker")).count() == 1
+
+
+def test_line_shapes_agree_in_both_engines(spark):
+    lines = ["Smith, J. (2001). First.", "van der Berg, A. B. (1999).", "WHO Europe (2010, 3 May). Page.", "1. Aaa  bbb", "[iv] Ccc", "• item", "Retrieved from www.x.org", "doi: 10.1000/x", "x­yz  é ", "", "In K. Editor, Book, 12(2), 3-4.", "Brown, T., &", "(2003).", "Final report http://x.org/r"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, line string").select("k", segment.normal_line(F.col("line")).alias("line"))
+    got = {r.k: (r.line, r.bits) for r in rows.withColumn("bits", segment.shape_bits(F.col("line"))).collect()}
+    assert got == {k: (segment.normal(t), segment.bits_of(segment.normal(t))) for k, t in enumerate(lines)}
+
+
+def test_long_lists_without_boundaries_are_linear():
+    import time
+
+    began = time.process_time()
+    for line in ("and more words of a list without any end", "Smith, J. (2001). and", "Smith, J.,"):
+        segment.split_references("\n".join([line] * 5000))
+    assert time.process_time() - began < 5
+
+
+def test_word_rows():
+    at = lambda text, x, top: {"text": text, "x0": x, "x1": x + 5, "top": top, "bottom": top + 8}
+    rows = documents.word_rows([at("b", 20, 100.5), at("a", 10, 101), at("c", 5, 112), at("d", 9, 113.9), at("e", 1, 130)])
+    assert [[w["text"] for w in r] for r in rows] == [["a", "b"], ["c", "d"], ["e"]]
+    assert documents.word_rows([]) == []
