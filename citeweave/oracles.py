@@ -330,6 +330,7 @@ select l_orderkey, case when ok then 2 else 1 end as n_top, best, gap, cast(case
 # ------------------------------------------------------------------ lists, styles, reports
 
 ORACLES["segment_numbered"] = f"with {BIB} select c_custkey as doc_id, cast(row_number() over (partition by c_custkey order by k) - 1 as int) as ref_pos, case when count(*) over (partition by c_custkey) >= 2 then raw_reference else '1. ' || raw_reference end as raw_reference, cast(null as varchar) as error_code from bib"
+ORACLES["segment_plain"] = f"with {BIB} select c_custkey as doc_id, cast(row_number() over (partition by c_custkey order by k) - 1 as int) as ref_pos, raw_reference, case when count(*) over (partition by c_custkey) >= 2 then 'author_year_profile' else 'unknown_profile' end as profile, cast(null as varchar) as error_code from bib"
 ORACLES["marker_modes"] = f"""
 with {BIB}, n as (select c_custkey, count(*) as n from bib group by 1)
 select c_custkey as doc_id, n as numbered, 0 as bulleted, case when n >= 2 then 'numbered' end as marker_mode from n union all select -c_custkey - 1, 0, 0, null from n"""
@@ -381,7 +382,13 @@ with w as (select event_id, user_id, ts, {_EPOCH.format(86400)} as window_id fro
 select event_id, window_id, row_number() over (partition by user_id, window_id order by ts, event_id) <= 2 as allowed from w"""
 ORACLES["rate_limit_stream"] = ORACLES["rate_limit"]
 ORACLES["soft_limit"] = f"select user_id, {_EPOCH.format(7 * 86400)} as window_id, count(*) as n, count(*) >= 3 as challenge from events group by 1, 2"
-ORACLES["consumed_tokens"] = "select event_id, row_number() over (partition by user_id order by ts, event_id) = 1 as consumed from events"
+ORACLES["consumed_tokens"] = """
+with recursive e as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) as t from events),
+u as (select user_id, t, min(event_id) as event_id from e group by user_id, t),
+d as (select a.user_id, a.t, min(b.t) as next_t from u a join u b on a.user_id = b.user_id and b.t > a.t + 259200 group by a.user_id, a.t),
+n as (select d.*, u.event_id as next_id from d join u on u.user_id = d.user_id and u.t = d.next_t),
+p as (select user_id, min(t) as t, arg_min(event_id, t) as event_id from u group by user_id union all select n.user_id, n.next_t, n.next_id from p join n on n.user_id = p.user_id and n.t = p.t)
+select event_id, event_id in (select event_id from p) as consumed from events"""
 ORACLES["slow_outliers"] = """
 with c as (select l_quantity, quantile_disc(l_extendedprice, 0.95) as p95, count(*) as n from lineitem group by l_quantity)
 select l_orderkey, l_linenumber, round(p95, 2) as p95 from lineitem join c using (l_quantity) where n >= 3 and l_extendedprice > greatest(1000.0, p95 * 1.02)"""

@@ -15,7 +15,7 @@ from citeweave.functions import similarity as S
 from citeweave.functions import text as T
 from citeweave.operators import bibliography, cascade, classify, evaluate, matching, parse, prepare, recover, render, report, search, segment, style
 from citeweave.plans import resolve
-from citeweave.session import spread, stage
+from citeweave.session import spread, stage, stage_path
 from citeweave.sources import catalog as C
 from citeweave.sources import dumps, generated
 from citeweave.streaming import limits
@@ -467,9 +467,9 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     decided = limits.allow_stream(stream.select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 86_400, 2)
-    name = f"limits_{abs(hash((sf_dir, id(stream))))}"
-    decided.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("event_id", "window_id", "allowed")
+    path = stage_path(spark, "limits")
+    decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decided.schema).parquet(path).select("event_id", "window_id", "allowed")
 
 
 @query
@@ -478,9 +478,13 @@ def soft_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.soft_limit(counts, 4, 0.75).select("user_id", "window_id", "n", "challenge")
 
 
+#: Seconds until a token may be taken again; short, so that tokens do expire in the generated events.
+TOKEN_LIFE = 3 * 86_400
+
+
 @query
 def consumed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits.consume_once(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 366 * 86_400).select("event_id", "consumed")
+    return limits.consume_once(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", TOKEN_LIFE).select("event_id", "consumed")
 
 
 @query

@@ -62,12 +62,24 @@ def consume_stream(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> Da
     return events.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
+def _until(state: GroupState, seconds: float) -> None:
+    """Let the state be dropped once the watermark has passed ``seconds``."""
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def allow_stream(events: DataFrame, subject: str, ts: str, order: str, seconds: int, most: int) -> DataFrame:
-    """``allow`` as a stream: subject, order, window_id, allowed of each request; old windows are forgotten."""
+    """``allow`` as a stream: subject, order, window_id, allowed of each request.
+
+    A subject's state is dropped when the watermark, which lags by one window, has passed its
+    window; requests that come later than that are not answered, as for any watermark.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"{subject} {kinds[subject]}, {order} {kinds[order]}, window_id long, allowed boolean"
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         current, n = state.get if state.exists else (-1, 0)
         rows = pd.concat(list(batches)).sort_values([ts, order])
         result = []
@@ -79,46 +91,62 @@ def allow_stream(events: DataFrame, subject: str, ts: str, order: str, seconds:
             n += passes
             result.append((key[0], getattr(r, order), w, passes))
         state.update((current, n))
+        _until(state, (current + 1) * seconds)
         yield pd.DataFrame(result, columns=[subject, order, "window_id", "allowed"])
 
-    return events.groupBy(subject).applyInPandasWithState(decide, out, "current long, n long", "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark(ts, f"{seconds} seconds")
+    return watched.groupBy(subject).applyInPandasWithState(decide, out, "current long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def allow_all(requests: DataFrame, limits: dict[str, tuple[int, int]], group: str, ts: str, order: str) -> DataFrame:
     """A request passes only if every one of its subjects is under its limit, and then counts for all of them (stream).
 
     ``limits`` maps subject columns to (seconds, most). Requests that share subjects must
-    share ``group``, whose requests are decided one after another.
+    share ``group``, whose requests are decided one after another. Subjects whose window is
+    over are forgotten with each decision, and a group when the watermark has passed them all.
     """
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     out = f"{order} {kinds[order]}, allowed boolean"
+    longest = max(s for s, _ in limits.values())
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, windows, counts = state.get if state.exists else ([], [], [])
-        held = {n: (w, c) for n, w, c in zip(names, windows, counts, strict=True)}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        names, windows, counts, ends = state.get if state.exists else ([], [], [], [])
+        held = {n: (w, c, e) for n, w, c, e in zip(names, windows, counts, ends, strict=True)}
         result = []
         for r in pd.concat(list(batches)).sort_values([ts, order]).itertuples(index=False):
             now = getattr(r, ts).timestamp()
-            subjects = {f"{c}={getattr(r, c)}": (int(now // s), most) for c, (s, most) in limits.items()}
-            used = {k: held[k][1] if k in held and held[k][0] == w else 0 for k, (w, _) in subjects.items()}
-            passes = all(used[k] < most for k, (_, most) in subjects.items())
+            subjects = {f"{c}={getattr(r, c)}": (int(now // s), most, int(now // s + 1) * s) for c, (s, most) in limits.items()}
+            used = {k: held[k][1] if k in held and held[k][0] == w else 0 for k, (w, _, _) in subjects.items()}
+            passes = all(used[k] < most for k, (_, most, _) in subjects.items())
             if passes:
-                held |= {k: (w, used[k] + 1) for k, (w, _) in subjects.items()}
+                held |= {k: (w, used[k] + 1, e) for k, (w, _, e) in subjects.items()}
             result.append((getattr(r, order), passes))
-        state.update((list(held), [w for w, _ in held.values()], [c for _, c in held.values()]))
+        over = state.getCurrentWatermarkMs() / 1000
+        held = {k: v for k, v in held.items() if v[2] > over}
+        state.update((list(held), [w for w, _, _ in held.values()], [c for _, c, _ in held.values()], [e for _, _, e in held.values()]))
+        _until(state, max((e for _, _, e in held.values()), default=0))
         yield pd.DataFrame(result, columns=[order, "allowed"])
 
-    return requests.groupBy(group).applyInPandasWithState(decide, out, "names array<string>, windows array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
+    watched = requests.withWatermark(ts, f"{longest} seconds")
+    kept = "names array<string>, windows array<long>, counts array<long>, ends array<long>"
+    return watched.groupBy(group).applyInPandasWithState(decide, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def leases(events: DataFrame, pool: str, most: int, lease_seconds: int) -> DataFrame:
     """Slots of a pool: events (pool, job_id, action acquire or release, ts) to (job_id, ts, granted) (stream).
 
     A lease ends by release or after ``lease_seconds``; a job that holds one is refused another.
+    A pool without leases has no state, and its state ends with its last lease.
     """
     kind = events.schema[pool].dataType.simpleString()
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         jobs, since = state.get if state.exists else ([], [])
         held = dict(zip(jobs, since, strict=True))
         result = []
@@ -132,10 +160,15 @@ def leases(events: DataFrame, pool: str, most: int, lease_seconds: int) -> DataF
             if granted:
                 held[r.job_id] = now
             result.append((key[0], r.job_id, r.ts, granted))
-        state.update((list(held), list(held.values())))
+        if held:
+            state.update((list(held), list(held.values())))
+            _until(state, max(held.values()) + lease_seconds + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(result, columns=[pool, "job_id", "ts", "granted"])
 
-    return events.groupBy(pool).applyInPandasWithState(decide, f"{pool} {kind}, job_id string, ts timestamp, granted boolean", "jobs array<string>, since array<double>", "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark("ts", f"{lease_seconds} seconds")
+    return watched.groupBy(pool).applyInPandasWithState(decide, f"{pool} {kind}, job_id string, ts timestamp, granted boolean", "jobs array<string>, since array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_states(events: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

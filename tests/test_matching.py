@@ -147,6 +147,31 @@ def test_incremental_load_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(index).where("term = 'third'").count() == 1
 
 
+@pytest.mark.parametrize("fails_at", ["postings", "upsert_latest"])
+def test_a_load_that_dies_between_writes_is_replayed(spark, tmp_path, monkeypatch, fails_at):
+    folder, cat, index, works = (str(tmp_path / n) for n in ("in", "catalog", "index", "works"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "shard0.jsonl").write_text("\n".join(map(json.dumps, CROSSREF)))
+
+    def load():
+        ingest.start(ingest.read_shards(spark, folder), cat, index, works, str(tmp_path / "cp")).awaitTermination()
+
+    def dies(*_):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, fails_at, dies)
+        with pytest.raises(Exception, match="the driver is gone"):
+            load()
+    assert spark.read.parquet(cat).count() > 0  # the first write had happened
+    load()
+    load()
+    records = [r.record_id for r in spark.read.parquet(cat).collect()]
+    assert len(records) == len(set(records)) and {r.record_id for r in spark.read.parquet(index).select("record_id").distinct().collect()} == set(records)
+    assert spark.read.parquet(index).groupBy("source_table", "field", "term", "record_id").count().where("count > 1").count() == 0
+    assert spark.read.parquet(works).count() == ingest.latest_works(spark.read.parquet(works)).count() == 1
+
+
 def test_shards(spark):
     lines = spark.createDataFrame([('{"shard": "a"}',), ("b",), (" ",)], "value string")
     assert sorted(r.shard for r in dumps.progress_shards(lines).collect()) == ["a", "b"]
@@ -190,7 +215,7 @@ def test_limits_streams_equal_batch(spark, tmp_path):
 
 def test_leases_and_jobs(spark, tmp_path):
     events = [("p", "a", "acquire", 0), ("p", "b", "acquire", 1), ("p", "c", "acquire", 2), ("p", "a", "release", 3), ("p", "c", "acquire", 4), ("p", "d", "acquire", 200)]
-    df = spark.createDataFrame(events, "pool string, job_id string, action string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df = spark.createDataFrame(events, "pool string, job_id string, action string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1000)).drop("s")  # a watermark begins at 0
     df.repartition(1).write.parquet(str(tmp_path / "l"))
     out = limits.leases(spark.readStream.schema(df.schema).parquet(str(tmp_path / "l")), "pool", 2, 100)
     out.writeStream.format("memory").queryName("t_lease").outputMode("append").trigger(availableNow=True).start().awaitTermination()
