@@ -67,6 +67,10 @@ def _until(state: GroupState, seconds: float) -> None:
     state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
 
 
+def _watched(events: DataFrame, ts: str, seconds: int) -> DataFrame:
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{seconds} seconds")
+
+
 def allow_stream(events: DataFrame, subject: str, ts: str, order: str, seconds: int, most: int) -> DataFrame:
     """``allow`` as a stream: subject, order, window_id, allowed of each request.
 
@@ -94,8 +98,7 @@ def allow_stream(events: DataFrame, subject: str, ts: str, order: str, seconds:
         _until(state, (current + 1) * seconds)
         yield pd.DataFrame(result, columns=[subject, order, "window_id", "allowed"])
 
-    watched = events.withWatermark(ts, f"{seconds} seconds")
-    return watched.groupBy(subject).applyInPandasWithState(decide, out, "current long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _watched(events, ts, seconds).groupBy(subject).applyInPandasWithState(decide, out, "current long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def allow_all(requests: DataFrame, limits: dict[str, tuple[int, int]], group: str, ts: str, order: str) -> DataFrame:
@@ -130,9 +133,8 @@ def allow_all(requests: DataFrame, limits: dict[str, tuple[int, int]], group: st
         _until(state, max((e for _, _, e in held.values()), default=0))
         yield pd.DataFrame(result, columns=[order, "allowed"])
 
-    watched = requests.withWatermark(ts, f"{longest} seconds")
     kept = "names array<string>, windows array<long>, counts array<long>, ends array<long>"
-    return watched.groupBy(group).applyInPandasWithState(decide, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return _watched(requests, ts, longest).groupBy(group).applyInPandasWithState(decide, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def leases(events: DataFrame, pool: str, most: int, lease_seconds: int) -> DataFrame:
@@ -167,8 +169,7 @@ def leases(events: DataFrame, pool: str, most: int, lease_seconds: int) -> DataF
             state.remove()
         yield pd.DataFrame(result, columns=[pool, "job_id", "ts", "granted"])
 
-    watched = events.withWatermark("ts", f"{lease_seconds} seconds")
-    return watched.groupBy(pool).applyInPandasWithState(decide, f"{pool} {kind}, job_id string, ts timestamp, granted boolean", "jobs array<string>, since array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return _watched(events, "ts", lease_seconds).groupBy(pool).applyInPandasWithState(decide, f"{pool} {kind}, job_id string, ts timestamp, granted boolean", "jobs array<string>, since array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_states(events: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
