@@ -12,8 +12,10 @@
    and orders its documents by a hash (the local shuffle).
 
 Only DataFrame expressions run on the executors. All randomness is a hash of the seed, so
-reruns agree. A source has at most ``max_blocks`` blocks, so the tables of blocks and draws
-are bounded by the number of sources; documents are never grouped by source, only by block.
+reruns agree. A block holds about ``docs_per_block`` documents at any size of a source; its
+blocks and draws, one small row each, are numbered in ranges of hashes whose totals are summed
+apart, so neither documents nor blocks of a source ever meet in one task. Tables with a row
+per source (targets, quotas) are the only ones that one task orders as a whole.
 
 Null text has 0 words; a null source is a source of its own, last in order; a source without
 words has target 0 and takes nothing. Rows that repeat a doc_id are separate documents. An
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import materialize
 
+#: Blocks or shards that one task puts in order.
+RANGE = 4096
 WORD_SPACE = " \t\n\x0b\f\r"
 
 
@@ -142,6 +146,21 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("shard", F.explode(pairs).alias("p")).select("shard", F.col("p.ordinals").alias("ordinal"), F.col("p.quota").alias("n"))
 
 
+def _hashed(key: Column, n: Column) -> tuple[Column, Column]:
+    """(range, place): a random place for each key, and the number of its range, of which there is one for each RANGE of ``n`` keys."""
+    ranges = F.ceil(n / RANGE)
+    return F.floor(F.shiftrightunsigned(key, 40) * ranges / F.lit(float(1 << 24))).cast("long"), F.shiftrightunsigned(key, 1)
+
+
+def _running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: of each row's source, the sum of ``value`` up to the row in the order of (range, *order)."""
+    per = rows.groupBy("ordinal", "range").agg(F.sum(value).alias("_in"))
+    before = Window.partitionBy("ordinal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per.select("ordinal", "range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy("ordinal", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(bases, ["ordinal", "range"]).withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "range")
+
+
 def mix_sources(
     documents: DataFrame,
     carry: bool = False,
@@ -149,7 +168,6 @@ def mix_sources(
     max_repeat: int = 3,
     weights: tuple = (1, 2, 3),
     docs_per_block: int = 128,
-    max_blocks: int = 4096,
     blocks_per_shard: int = 8,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, placements array<struct<copy, shard, position>>.
@@ -162,7 +180,7 @@ def mix_sources(
     slim = base.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = materialize(slim, "mix-sizes")
     targets = source_targets(sized, max_repeat, weights)
-    blocks_of = F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("n_docs") / docs_per_block))).cast("long")
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / docs_per_block)).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = materialize(targets.withColumn("n_blocks", blocks_of).withColumn("passes", passes).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "mix-targets")
 
@@ -171,31 +189,32 @@ def mix_sources(
         joined = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         return joined.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), "n_blocks"))
 
-    per_block = blocked(sized).groupBy("ordinal", "block", "passes", "rest").agg(F.sum("size").alias("words"))
-    permuted = Window.partitionBy("ordinal").orderBy(F.xxhash64(F.lit(seed + 1), "ordinal", "passes", "block"), "block")
-    per_block = per_block.withColumn("upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
+    words = blocked(sized).groupBy("ordinal", "block", "passes", "rest", "n_blocks").agg(F.sum("size").alias("words"))
+    span, place = _hashed(F.xxhash64(F.lit(seed + 1), "ordinal", "passes", "block"), F.col("n_blocks"))
+    words = materialize(words.withColumns({"range": span, "place": place}), "mix-words")
+    per_block = _running(words, ["place", "block"], F.col("words"), "upto")
     whole = (F.col("upto") <= F.col("rest")) & (F.col("words") > 0)
     cut = (F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") > F.col("rest"))
     per_block = materialize(
-        per_block.select("ordinal", "block", "passes", F.when(whole, 1).when(cut, 2).otherwise(0).alias("state"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")),
+        per_block.select("ordinal", "block", "passes", "n_blocks", F.when(whole, 1).when(cut, 2).otherwise(0).alias("state"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")),
         "mix-blocks",
     )
     copies = F.when(F.col("state") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes"))).when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))
-    draws = per_block.select("ordinal", "block", F.explode(copies).alias("copy"))
+    draws = per_block.select("ordinal", "block", "n_blocks", F.explode(copies).alias("copy"))
     quotas = materialize(draws.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")), "mix-quotas")
     total = quotas.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / blocks_per_shard))
 
-    leaves = splitting_tree(quotas, shards, seed + 2)
-    upto = F.sum("n").over(Window.partitionBy("ordinal").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    taken = leaves.withColumn("upto", upto).where("n > 0").select("shard", "ordinal", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("rank"))
-    order = Window.partitionBy("ordinal").orderBy(F.xxhash64(F.lit(seed + 3), "ordinal", "copy", "block"), "copy", "block")
-    ranked = draws.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    leaves = splitting_tree(quotas, shards, seed + 2).withColumn("range", F.floor(F.col("shard") / RANGE).cast("long"))
+    leaves = _running(materialize(leaves, "mix-leaves"), ["shard"], F.col("n"), "upto")
+    taken = leaves.where("n > 0").select("shard", "ordinal", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("rank"))
+    span, place = _hashed(F.xxhash64(F.lit(seed + 3), "ordinal", "copy", "block"), F.col("n_blocks"))
+    ranked = _running(draws.withColumns({"range": span, "place": place}), ["place", "copy", "block"], F.lit(1).cast("long"), "rank").withColumn("rank", F.col("rank") - 1)
     placed = ranked.join(taken, ["ordinal", "rank"]).groupBy("ordinal", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("places"))
-    plan = materialize(per_block.join(placed, ["ordinal", "block"], "left"), "mix-plan")
+    plan = materialize(per_block.drop("n_blocks").join(placed, ["ordinal", "block"], "left"), "mix-plan")
 
     rows = base.withColumn("size", word_count(F.col("text"))) if carry else sized
-    rows = blocked(rows).drop("passes").join(plan, ["ordinal", "block"])
+    rows = blocked(rows).drop("passes", "n_blocks").join(plan, ["ordinal", "block"])
     straddle = rows.where("state = 2")
     in_block = Window.partitionBy("ordinal", "block")
     key = F.xxhash64(F.lit(seed + 4), "doc_id", "size")

@@ -612,6 +612,27 @@ def test_mix(spark):
     assert source_mix.emit(source_mix.mix_sources(df, carry=True)).count() == sum(len(r.placements) for r in got)
 
 
+def test_mix_of_many_blocks(spark, monkeypatch):
+    """Blocks stay small at any size of a source, and are numbered range by range."""
+    monkeypatch.setattr(source_mix, "RANGE", 4)
+    rng = random.Random(13)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(0, 40))), rng.choice("aab")) for k in range(600)] + [(600, "w " * 30_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mix_sources(df, docs_per_block=8, blocks_per_shard=2).collect()
+    sizes, taken = {}, {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r["size"] * len(r.placements)
+        assert len(r.placements) <= 3 and len({tuple(p) for p in r.placements}) == len(r.placements)
+    want = water_filling(sizes)
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in "ab")
+    shards = {}
+    for r in got:
+        for p in r.placements:
+            shards[p.shard] = shards.get(p.shard, 0) + 1
+    assert max(shards.values()) <= 12 * len(got) / len(shards)
+
+
 def test_hypergeometric_law(spark):
     rows = spark.range(4000).select(source_mix.hypergeometric((F.col("id") + 0.5) / 4000, F.lit(7).cast("long"), F.lit(20).cast("long"), F.lit(9).cast("long")).alias("x")).groupBy("x").count().collect()
     from math import comb
