@@ -683,3 +683,24 @@ def test_pipeline_against_its_stages(spark):
         assert t == (secret_scan.redact(texts[i], secret_scan.scan(texts[i])[1]))
     last = corpus_pipeline.run(spark, SF)
     assert last.count() > 0 and {r.doc_id for r in last.collect()} <= want
+
+
+# ------------------------------------------------------------------ queries and their SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    expected = con.execute(queries.ORACLE_SQL[name]).fetchall()
+    columns = [d[0] for d in con.description]
+    df = queries.QUERIES[name](spark, folder)
+    assert sorted(df.columns) == sorted(columns)
+    plain = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(expected)
