@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -81,6 +82,39 @@ def test_quality_learns_and_keeps_shape(spark):
     assert quality_fm.score(odd.limit(0), model).count() == 0
 
 
+def test_scores_by_brute_force(spark):
+    """Every pair of features counted one by one gives the query's scores; labels of held-out rows do not matter."""
+    rng = random.Random(2)
+    good, bad = "the of a river town people house".split(), "buy click now free win cash".split()
+    texts = [" ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randrange(3, 25))) for k in range(300)] + [None, "", LONG[:3000]]
+    df = docs(spark, *texts)
+    out = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    labels = [(k, k % 2, 0) for k in range(300)]
+    schema = "doc_id long, quality int, toxic int"
+    model = quality_fm.train(df, spark.createDataFrame(labels, schema))
+    other = quality_fm.train(df, spark.createDataFrame([(k, 1 - q if out(k) else q, t) for k, q, t in labels], schema))
+    assert model.w0 == other.w0 and (model.w == other.w).all() and (model.v == other.v).all()
+    got = {r.doc_id: r for r in quality_fm.score(df, model).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        _, bucket, weight, stats = quality_fm.features(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        x = {**{}, **dict(enumerate(np.clip((stats[0] - model.mean) / model.scale, -4, 4), quality_fm.WORDS))}
+        pairs = [(int(b), float(w)) for b, w in zip(bucket, weight, strict=True)] + list(x.items())  # buckets that two words share stay two features
+        z = model.w0 + sum(model.w[i] * v for i, v in pairs)
+        z += sum(float(model.v[i] @ model.v[j]) * a * b for n, (i, a) in enumerate(pairs) for j, b in pairs[:n])
+        want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert got[k].score == pytest.approx(want, abs=1e-6) and got[k].predicted == int(got[k].score >= 0.5)
+    assert np.mean([got[k].predicted == k % 2 for k in range(300) if out(k)]) > 0.9
+
+
+def test_training_rows_are_bounded_and_ordered(spark):
+    texts = [f"text number {k % 7} of an id" for k in range(200)]
+    df = spark.createDataFrame([(1, t) for t in texts] + [(2, "clean words here"), (3, "bad words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    one, two = (quality_fm.train(df.repartition(n), labels, limit=5) for n in (2, 5))
+    assert one.w0 == two.w0 and (one.w == two.w).all()
+
+
 def test_quality_without_labels_keeps_all(spark):
     model = quality_fm.train(docs(spark, "a", "b"), spark.createDataFrame([(0, None)], "doc_id long, quality int"))
     assert [r.predicted for r in quality_fm.score(docs(spark, "a", "b"), model).collect()] == [1, 1]
@@ -303,6 +337,115 @@ def test_differences_of_long_templates_copies_and_bucket_edges(spark):
         assert all(out[k].startswith("Menu entry number 0") for k in (300, 301) if k in out)
 
 
+def test_articles_lose_template_blocks_by_differences_alone(spark):
+    """No class or id tells: the same page alone keeps what its neighbours show to be template."""
+    tips = "<div class='x1'><p>Read our best stories</p><p>Follow us for more</p></div>"
+    body = lambda k: f"<h2 id='discussion'>Discussion</h2><p>Part {k} of the text</p><blockquote><p>A saying that all quote</p></blockquote><p>A shared line</p><p class='notice'>Kept {k * 3}?</p>"
+    page = lambda k: f"<article><h1>Title {k}</h1>{tips}<div class='x2'>{body(k)}</div><ul class='x3'><li>More of it</li></ul></article>"
+    want = lambda k: f"Title {k}\nDiscussion\nPart {k} of the text\nA saying that all quote\nA shared line\nKept {k * 3}?"
+    rows = [(k, f"http://a.example/en/{k}", page(k)) for k in range(7)] + [(50, "http://b.example/1", page(50))]
+    rows += [(60 + k, f"http://c.example/{k}", page(60)) for k in range(3)]  # copies only
+    out = {r.page_id: r.text for r in page_differ.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == want(k) for k in range(7))
+    assert all("Read our best stories\nFollow us for more" in out[k] and out[k].endswith("More of it") for k in (50, 60, 61, 62))
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    found, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1] and table[i][j] == table[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            found.add(i)
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def test_pages_by_brute_force(spark):
+    """Whole pages of blocks with distinct lines, against the rules read out over their texts."""
+    rng = random.Random(14)
+    pages = {}
+    for k in range(60):
+        article = k % 4 != 3
+        blocks = [("a", [f"title {k}", f"own {k}"]), ("b", ["box one", "box two"]), ("c", [f"more {k} told at length", "common line"]), ("d", ["end one"] if rng.random() < 0.8 else ["other end"])]
+        if rng.random() < 0.2 and k:
+            blocks, article = pages[k - 1]
+        pages[k] = (blocks, article)
+    html = {k: ("<article>" if article else "<div>") + "".join(f"<div class='k{name}'>" + "".join(f"<p>{t}</p>" for t in lines) + "</div>" for name, lines in blocks) + ("</article>" if article else "</div>") for k, (blocks, article) in pages.items()}
+    flat = {k: [(t, name) for name, lines in blocks for t in lines] for k, (blocks, _) in pages.items()}
+
+    def copies(a, b):
+        shared = sum(len(flat[a][i][0]) for i in lcs([t for t, _ in flat[a]], [t for t, _ in flat[b]]))
+        return shared > 0.95 * max(sum(len(t) for t, _ in flat[x]) for x in (a, b))
+
+    runs = []
+    for k in range(60):
+        if runs and copies(runs[-1][0], k):
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    want = {}
+    for n, run in enumerate(runs):
+        beside = [runs[n - 1][-1]] if n else []
+        beside += [runs[n + 1][0]] if n + 1 < len(runs) else []
+        path = lambda k: f"/{k:012d}"
+        for k in run:
+            near = sorted(beside, key=lambda o: (-len(__import__("os").path.commonprefix([path(k), path(o)])), beside.index(o)))
+            own, total = flat[k], sum(len(t) for t, _ in flat[k])
+            shared = [lcs([t for t, _ in own], [t for t, _ in flat[o]]) for o in near]
+            size = lambda places: sum(len(own[i][0]) for i in places)
+            shared = [x for x in shared if size(x) <= 0.95 * total]
+            gone = set()
+            if shared and pages[k][1]:
+                both = set.intersection(*shared)
+                kept_blocks = {own[i][1] for i in range(len(own)) if i not in both}
+                gone = {i for i in range(len(own)) if own[i][1] not in kept_blocks}
+                gone = gone if 2 * size(gone) <= total else set()
+            elif shared:
+                gone = next((x for x in shared if 2 * size(x) <= total), None)
+                gone = min(shared, key=size) if gone is None else gone
+            want[k] = "\n".join(t for i, (t, _) in enumerate(own) if i not in gone)
+    rows = [(k, f"http://a.example/{k}", html[k]) for k in html]
+    out = {r.page_id: r.text for r in page_differ.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert out == want
+
+
+def test_page_edge_cases(spark):
+    schema = "page_id long, url string, html string, text string, bucket int, deleted binary"
+    rows = [(k % 3, "http://a.example/same", f"<p>{'word ' * 9}{k % 2}</p>", "clash", 1, None) for k in range(6)]  # ties of URLs, repeated rows
+    rows += [(7, "http://a.example/long", "<p>" + "long text " * 200_000 + "</p>", None, None, None), (None, "no host", None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    out = page_differ.extract(df).collect()
+    assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
+    assert [r.n_chars for r in out if r.page_id == 7] == [len("long text " * 200_000) - 1]
+    assert page_differ.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a t=\"x>y", "<svg>a<p>b", "<div></p>", "<a b", "< ", "<!-- ", "<article><p>x</li>", "<b '>", "<li>", "<p class='a", "<article></section>"])
+def test_scanning_is_linear(page):
+    import time
+
+    began = time.process_time()
+    page_differ.page_lines(page * 20_000)
+    page_differ.page_lines("<article>" * 5000 + page * 5000)
+    assert time.process_time() - began < 4
+    assert page_differ.page_lines("<svg>kept<p>text</p>")[-1][0] == "text"
+
+
+def test_aligning_repeated_lines_is_cheap():
+    import time
+
+    began = time.process_time()
+    assert len(page_differ.shared_lines([1, 2] * 4000, [2, 1, 1] * 4000)) == 8000 - 1
+    assert time.process_time() - began < 5
+
+
 def test_near_copies_keep_their_text(spark):
     article = "".join(f"<p>Paragraph {k} of one and the same long article</p>" for k in range(40))
     rows = [(k, f"http://a.example/{k}", f"<p>Welcome</p>{article}<p>Seen {k} times</p>") for k in range(3)]
