@@ -392,3 +392,13 @@ select event_id, event_id in (select event_id from p) as consumed from events"""
 ORACLES["slow_outliers"] = """
 with c as (select l_quantity, quantile_disc(l_extendedprice, 0.95) as p95, count(*) as n from lineitem group by l_quantity)
 select l_orderkey, l_linenumber, round(p95, 2) as p95 from lineitem join c using (l_quantity) where n >= 3 and l_extendedprice > greatest(1000.0, p95 * 1.02)"""
+
+ORACLES["timing_summaries"] = """
+with t as (select l_returnflag, 'l_quantity' as timing, l_quantity as ms from lineitem union all select l_returnflag, 'l_tax', l_tax * 100 from lineitem where l_tax > 0)
+select l_returnflag, timing, count(*) as n, round(sum(ms), 2) as total, round(avg(ms), 4) as mean, round(quantile_disc(ms, 0.95), 2) as p95, round(max(ms), 2) as slowest from t group by 1, 2"""
+ORACLES["zipped_lines"] = "select l_linenumber, count(*) as n, cast(sum(l_partkey * 7 + l_suppkey) as bigint) as \"check\" from lineitem group by l_linenumber"
+ORACLES["first_references"] = f"with {BIB}, r as (select c_custkey as doc_id, cast(row_number() over (partition by c_custkey order by k) - 1 as int) as ref_pos, raw_reference from bib) select * from r where ref_pos in (0, 1, 3)"
+ORACLES["maintained_index"] = f"""
+with {BIB}, {_CATALOG}, {_POSTINGS}, t as (select *, cast(split_part(record_id, ':', 2) as int) as number from post where field = 'title_norm'),
+kept as (select term, record_id, tf from t where number % 5 <> 0 union all select distinct 'revised', record_id, 1 from t where number % 3 = 0 and number % 5 <> 0)
+select term, count(*) as n_records, cast(sum(tf) as bigint) as n_uses from kept group by term"""

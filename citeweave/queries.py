@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import names as N
 from citeweave.functions import similarity as S
 from citeweave.functions import text as T
-from citeweave.operators import bibliography, cascade, classify, evaluate, matching, parse, prepare, recover, render, report, search, segment, style
+from citeweave.operators import audit, bibliography, cascade, classify, evaluate, matching, parse, prepare, recover, render, report, search, segment, style
 from citeweave.plans import resolve
 from citeweave.session import spread, stage, stage_path
 from citeweave.sources import catalog as C
@@ -490,17 +490,49 @@ def consumed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def slow_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose price is above twice the 95th percentile of their supplier's quantity class (at least 1000)."""
-    lines = table(spark, sf_dir, "lineitem")
-    cut = lines.groupBy("l_quantity").agg(F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95"), F.count(F.lit(1)).alias("n"))
-    rows = lines.join(cut.where("n >= 3"), "l_quantity").where(F.col("l_extendedprice") > F.greatest(F.lit(1000.0), F.col("p95") * 1.02))
+    rows = audit.outliers(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 1000.0, 1.02)
     return rows.select("l_orderkey", "l_linenumber", F.round("p95", 2).alias("p95"))
 
 
 @query
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir)
-    bucket = F.when(F.col("final_status") == "verified", "ok").when(F.col("signals.doi") == "mismatch", "doi").when(F.col("signals.title").isin("weak", "none", "partial"), "title").otherwise("other")
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return audit.triage(_judged(spark, sf_dir))
+
+
+@query
+def timing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts as timings: quantity and tax of each return flag."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.when(F.col("l_tax") > 0, F.col("l_tax") * 100).alias("l_tax"))
+    found = audit.timing_summary(lines, ["l_quantity", "l_tax"], ["l_returnflag"])
+    return found.select("l_returnflag", "timing", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), F.round("p95", 2).alias("p95"), F.round("slowest", 2).alias("slowest"))
+
+
+@query
+def zipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and their prices, put together again by position."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", place)
+    both = audit.zip_join(lines.select("l_orderkey", "place", "l_linenumber", "l_partkey"), lines.select("l_orderkey", "place", "l_suppkey"), ["l_orderkey", "place"])
+    return both.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("check"))
+
+
+@query
+def first_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = generated.citations(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), "k", "raw_reference")
+    placed = refs.withColumn("ref_pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1)
+    return audit.reference_slice(placed, most=2).select("doc_id", "ref_pos", "raw_reference").unionByName(audit.reference_slice(placed, index=3).select("doc_id", "ref_pos", "raw_reference"))
+
+
+@query
+def maintained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after every fifth record was deleted and every third got another title: terms of titles and their records."""
+    records = C.journal_catalog(generated.citations(spark, sf_dir))
+    number = F.col("source_id").cast("int")
+    index = C.postings(records)
+    left = C.without_records(index, records.where(number % 5 == 0))
+    changed = records.where((number % 3 == 0) & (number % 5 != 0)).withColumn("title_norm", F.concat(F.lit("revised "), F.col("title_norm")))
+    kept = C.with_changed_records(left, changed).where("field = 'title_norm'")
+    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tf").alias("n_uses"))
 
 
 @query

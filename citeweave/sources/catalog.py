@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,27 @@ def write_index(index: DataFrame, table: str, buckets: int = 256) -> None:
     index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
+def without_records(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The postings of all records but those of ``gone`` (record_id): upkeep after a delete."""
+    return index.join(gone.select("record_id").distinct(), "record_id", "left_anti").select(*index.columns)
+
+
+def with_changed_records(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """The postings after records were inserted or updated: those of ``changed`` (catalog rows) are made anew, all others stay as they are."""
+    return without_records(index, changed).unionByName(postings(changed).select(*index.columns))
+
+
+def analyze(spark: SparkSession, table: str) -> None:
+    """Statistics of a stored table and its columns for the planner."""
+    spark.sql(f"analyze table {table} compute statistics for all columns")
+
+
+def warm_up(tables: dict[str, DataFrame], seconds: float = 10.0) -> dict[str, bool | None]:
+    """Touch one row of each table until the time is over: whether it has one, None where no time was left."""
+    end = time.monotonic() + seconds
+    return {name: (df.limit(1).count() > 0 if time.monotonic() < end else None) for name, df in tables.items()}
+
+
 # ------------------------------------------------------------------ synthetic catalog
 
 

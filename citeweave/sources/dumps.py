@@ -7,6 +7,8 @@ that the catalog has no table for.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,34 @@ def read_lines(spark: SparkSession, paths: str | list[str], suffix: str | None =
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("shard"), F.col("_metadata.file_block_start").alias("block"), "value").where(F.btrim("value") != "")
 
 
+def existing_paths(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """(paths that exist, paths that do not); patterns exist if they match anything."""
+    conf = spark._jsc.hadoopConfiguration()
+    found: tuple[list[str], list[str]] = ([], [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        here = place.getFileSystem(conf).globStatus(place)
+        found[0 if here is not None and len(here) else 1].append(path)
+    return found
+
+
+def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``read_lines`` over the shards of a resume list that exist; each missing one is reported, not read."""
+    here, gone = existing_paths(spark, paths)
+    for path in gone:
+        warnings.warn(f"shard {path} is missing and was skipped", stacklevel=2)
+    if not here:
+        return spark.createDataFrame([], "shard string, block long, value string")
+    return read_lines(spark, here)
+
+
+def append_progress(rows: DataFrame, path: str) -> None:
+    """Note finished shards: a JSON line {shard, counts by table} for each, appended to the progress folder."""
+    counts = rows.groupBy("shard", "source_table").agg(F.count(F.lit(1)).alias("n")).groupBy("shard")
+    lines = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_table", "n")))).alias("counts"))
+    lines.select(F.to_json(F.struct("shard", "counts")).alias("value")).coalesce(1).write.mode("append").text(path)
+
+
 def remaining_shards(shards: DataFrame, completed: DataFrame) -> DataFrame:
     """Shards that the progress table does not name (a resumed load)."""
     return shards.join(completed.select("shard").distinct(), "shard", "left_anti")

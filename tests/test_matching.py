@@ -270,3 +270,55 @@ def test_stored_tables(spark, mock, tmp_path):
     assert spark.table("stored_terms").count() == mock.index.count()
     state = spark.createDataFrame([(1, 100), (2, 900)], "k int, s long").withColumn("updated_at", F.timestamp_seconds("s"))
     assert [r.k for r in limits.prune(state, F.timestamp_seconds(F.lit(1000)), 200).collect()] == [2]
+
+
+def test_positional_join_keys_and_slices(spark):
+    from citeweave.operators import audit
+
+    a = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "doc_id long, ref_pos int, a string")
+    b = spark.createDataFrame([(1, 0, "p"), (1, 1, "q")], "doc_id long, ref_pos int, b string")
+    assert {(r.a, r.b) for r in audit.zip_join(a, b, ["doc_id", "ref_pos"]).collect()} == {("x", "p"), ("y", "q")}
+    for wrong in (b.limit(1), b.unionByName(b.limit(1))):
+        with pytest.raises(Exception, match="positional join"):
+            audit.zip_join(a, wrong, ["doc_id", "ref_pos"]).collect()
+    assert [r.ref_pos for r in audit.reference_slice(a, index=1).collect()] == [1] and audit.reference_slice(a, most=1).count() == 1
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"x" * 100):
+        got = a.select(audit.owner_key(key, F.col("a")).alias("h")).collect()
+        assert {r.h for r in got} == {hmac.new(key, m, hashlib.sha256).hexdigest() for m in (b"x", b"y")}
+    assert audit.max_id(a, "ref_pos") == 1 and audit.max_id(a.limit(0), "ref_pos") == 0
+    assert all(len(r.report_id) == 32 for r in audit.random_ids(a).collect())
+
+
+def test_missing_shards_and_progress(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps(CROSSREF[0]) + "\n")
+    with pytest.warns(UserWarning, match="gone.jsonl is missing"):
+        lines = dumps.read_shards(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "gone.jsonl")])
+    rows = dumps.crossref_rows(lines)
+    dumps.append_progress(rows, str(tmp_path / "progress"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "progress")).collect()] == [{"shard": "a.jsonl", "counts": {"search_journal": 1}}]
+    done = dumps.progress_shards(spark.read.text(str(tmp_path / "progress")))
+    assert dumps.remaining_shards(spark.createDataFrame([("a.jsonl",), ("b.jsonl",)], "shard string"), done).collect()[0].shard == "b.jsonl"
+    with pytest.warns(UserWarning):
+        assert dumps.read_shards(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_artifacts(spark, tmp_path):
+    import os
+
+    from citeweave.sources import artifacts
+
+    schema = "doc_id string, ref_pos int, opaque_reference_id string, display_reference string, status_bucket string, final_confidence string, accepted_match string, strengths array<string>, concerns array<string>, review_flags array<string>, parsed_fields map<string,string>, search_links array<struct<label:string,href:string>>"
+    rows = [("d/1", 1, "ref_0002", "B <x>", "needs_review", None, None, [], ["c"], ["f"], {}, [("doi", "https://doi.org/10.1/a?b&c")]), ("d/1", 0, "ref_0001", "A & *b*", "verified", "high", "<i>T</i><script>x()</script> <b onclick='y'>2</b><img src=z>", ["s"], [], [], {"Title": "T<"}, [])]
+    df = spark.createDataFrame(rows, schema)
+    assert artifacts.write_reports(df, str(tmp_path / "r")) == {"json": 1, "md": 1, "html": 1, "glance.txt": 1}
+    at = lambda suffix: tmp_path / "r" / f"d%2F1.{suffix}"
+    body = json.loads(at("json").read_text())
+    assert body["counts"] == {"n": 2, "verified": 1, "needs_review": 1, "suspicious": 0} and [r["opaque_reference_id"] for r in body["references"]] == ["ref_0001", "ref_0002"]
+    html = at("html").read_text()
+    assert "<i>T</i> <b>2</b>" in html and "script" not in html.split("</head>")[1] and "onclick" not in html and "<img" not in html and "B &lt;x&gt;" in html and "T&lt;" in html
+    assert "A & \\*b\\*" in at("md").read_text() and at("glance.txt").read_text().startswith("ref_0001\tverified\thigh\tA & *b*")
+    assert all(os.stat(at(s)).st_mode & 0o777 == 0o600 for s in ("json", "html"))
+    assert artifacts.delete_documents(["d/1"], str(tmp_path / "r")) == 4 and not [f for f in (tmp_path / "r").iterdir() if not f.name.endswith(".crc")]
