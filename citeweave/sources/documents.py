@@ -1,9 +1,9 @@
 """Documents: binary files to text units, with a check of each file before it is opened.
 
 ``read_files`` lists a folder through the ``binaryFile`` source; ``validate`` and ``extract``
-work on its rows in batches. Word files are read with the standard library. For PDF any
-library that yields positioned words can be plugged in (``register_pdf_backend``); where none
-is, the file's row carries an error code instead of units. Errors are rows, never exceptions.
+work on its rows in batches. Word files and the text layer of PDF files are read with the
+standard library; another reader of positioned words, or of another kind of file, can be
+registered (``register_pdf_backend``, ``register_extractor``). Errors are rows, never exceptions.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave import constants as K
+from citeweave.sources import pdf_words
 
 UNITS = "doc_id string, unit_index int, kind string, label string, text string, layout string, hints array<struct<text:string,is_new_block:boolean,gap_before:string,indentation_change:string>>, error_code string"
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_backends: dict[str, Callable[[bytes], list[list[dict]]]] = {}
+_backends: dict[str, Callable[[bytes], list[list[dict]]]] = {"pdf": pdf_words.read_words}
+#: File suffix to a function from bytes to rows (unit_index, kind, label, text, layout, hints).
+_extractors: dict[str, Callable[[bytes], list[tuple]]] = {}
 
 
 def read_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -143,6 +146,11 @@ def register_pdf_backend(read_words: Callable[[bytes], list[list[dict]]]) -> Non
     _backends["pdf"] = read_words
 
 
+def register_extractor(suffix: str, units: Callable[[bytes], list[tuple]]) -> None:
+    """Read files with another suffix, or one of the known ones in another way."""
+    _extractors[suffix.lower().lstrip(".")] = units
+
+
 def word_rows(words: list[dict], tolerance: float = 3.0) -> list[list[dict]]:
     """Words in rows, each from left to right: a row ends where the next top is more than ``tolerance`` lower, or the row would be twice as high."""
     if not words:
@@ -225,10 +233,11 @@ def pdf_units(content: bytes, most_pages: int = K.MAX_PAGES, most_chars: int = K
 
 def extract(files: DataFrame) -> DataFrame:
     """Text units of validated files (doc_id, name, content, error_code); a file that fails gives one row with its error."""
-    backends = dict(_backends)
+    backends, extractors = dict(_backends), dict(_extractors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _backends.update(backends)
+        readers = {"docx": lambda content: [(*u, None) for u in docx_units(content)], "pdf": pdf_units, **extractors}
         columns = [c.split()[0] for c in re.split(r",\s*(?=[a-z_]+ (?:string|int|array))", UNITS)]
         for batch in batches:
             rows = []
@@ -236,15 +245,14 @@ def extract(files: DataFrame) -> DataFrame:
                 error, units = r.error_code, []
                 if not error:
                     try:
-                        if r.name.lower().endswith(".docx"):
-                            units = [(*u, None) for u in docx_units(r.content)]
-                        elif "pdf" in _backends:
-                            units = pdf_units(r.content)
+                        reader = readers.get(r.name.lower().rpartition(".")[2])
+                        if reader is None:
+                            error = "unsupported_extension"
                         else:
-                            error = "pdf_backend_unavailable"
+                            units = reader(r.content)
                         if not error and not any(u[3] for u in units):
                             error = "no_extractable_text"
-                    except (ValueError, zipfile.BadZipFile, ElementTree.ParseError, KeyError) as trouble:
+                    except (ValueError, zipfile.BadZipFile, ElementTree.ParseError, KeyError, TypeError, IndexError, AttributeError, RecursionError, OverflowError, StopIteration) as trouble:
                         error = str(trouble) if str(trouble).startswith(("pdf_", "extracted_")) else "extraction_failed"
                 rows += [(r.doc_id, *u, None) for u in units] if not error else [(r.doc_id, None, None, None, None, None, None, error)]
             yield pd.DataFrame(rows, columns=columns).astype({"unit_index": "Int32"})

@@ -135,7 +135,7 @@ def test_word_files(spark, tmp_path):
     for u in units:
         by.setdefault(u.doc_id.rpartition("/")[2], []).append(u)
     assert [(u.label, u.text, u.layout) for u in sorted(by["a.docx"], key=lambda u: u.unit_index)] == [("heading 1", "References", "normal"), (None, APA, "normal"), (None, "", "blank"), ("table-cell", "cell", "normal")]
-    assert (by["b.docx"][0].error_code, by["c.pdf"][0].error_code) == ("docx_damaged", "pdf_backend_unavailable")
+    assert (by["b.docx"][0].error_code, by["c.pdf"][0].error_code) == ("docx_damaged", "no_extractable_text")
     assert "d.txt" not in by
 
 
@@ -179,3 +179,67 @@ def test_word_rows():
     rows = documents.word_rows([at("b", 20, 100.5), at("a", 10, 101), at("c", 5, 112), at("d", 9, 113.9), at("e", 1, 130)])
     assert [[w["text"] for w in r] for r in rows] == [["a", "b"], ["c", "d"], ["e"]]
     assert documents.word_rows([]) == []
+
+
+def pdf_of(pages, compress=True, wide=False):
+    """A PDF of lines (x, y, text) with widths, packed streams and, if wide, two-byte codes with a ToUnicode map."""
+    import zlib
+
+    def stream(data, more=""):
+        packed = zlib.compress(data) if compress else data
+        return f"<< /Length {len(packed)} {'/Filter /FlateDecode' if compress else ''} {more}>>\nstream\n".encode() + packed + b"\nendstream"
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {len(pages)} /MediaBox [0 0 600 800] /Resources << /Font << /F1 3 0 R >> >> /Kids [{' '.join(f'{10 + 2 * k} 0 R' for k in range(len(pages)))}] >>".encode()}
+    chars = sorted({c for lines in pages for _, _, t in lines for c in t})
+    if wide:
+        rows = "".join(f"<{k + 1:04x}> <{ord(c):04x}>\n" for k, c in enumerate(chars))
+        objects[3] = b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 5 0 R /DescendantFonts [4 0 R] >>"
+        objects[4] = b"<< /Type /Font /Subtype /CIDFontType2 /DW 500 >>"
+        objects[5] = stream(f"1 beginbfrange <0000> <0000> <0020> endbfrange {len(chars)} beginbfchar\n{rows}endbfchar".encode())
+        shown = lambda t: "<" + "".join(f"{chars.index(c) + 1:04x}" for c in t) + "> Tj"
+    else:
+        objects[3] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [" + b"500 " * 224 + b"] >>"
+        shown = lambda t: "[(" + t[:3].replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") -20 (" + t[3:].replace("(", "\\(").replace(")", "\\)") + ")] TJ"
+    for k, lines in enumerate(pages):
+        body = "q 1 0 0 1 0 0 cm BT /F1 10 Tf " + " ".join(f"1 0 0 1 {x} {y} Tm {shown(t)}" for x, y, t in lines) + " ET Q"
+        objects[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>".encode()
+        objects[11 + 2 * k] = stream(body.encode("cp1252"))
+    return b"%PDF-1.5\n" + b"".join(f"{n} 0 obj\n".encode() + o + b"\nendobj\n" for n, o in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+@pytest.mark.parametrize("compress, wide", [(True, False), (False, False), (True, True)])
+def test_pdf_text_layer(spark, tmp_path, compress, wide):
+    lines = ["References", "Smith, J. (2001). A title é. Journal, 1(2), 3-4.", "Brown, T. (2002). Another. Press."]
+    pages = [[(50, 750 - 15 * k, t) for k, t in enumerate(lines)], [(50, 750, "Second page")], []]
+    (tmp_path / "a.pdf").write_bytes(pdf_of(pages, compress, wide))
+    (tmp_path / "b.pdf").write_bytes(pdf_of([[]], compress, wide))
+    (tmp_path / "c.pdf").write_bytes(pdf_of(pages).replace(b"/Root", b"/Encrypt 9 0 R /Root"))
+    units = documents.extract(documents.validate(documents.read_files(spark, str(tmp_path)))).collect()
+    by = {}
+    for u in units:
+        by.setdefault(u.doc_id.rpartition("/")[2], []).append(u)
+    assert [(u.label, u.text) for u in sorted(by["a.pdf"], key=lambda u: u.unit_index)] == [("page 1", "\n".join(lines)), ("page 2", "Second page")]
+    assert [h.gap_before for h in by["a.pdf"][0].hints][1:] == ["small", "small"]
+    assert by["b.pdf"][0].error_code == "no_extractable_text" and by["c.pdf"][0].error_code in ("pdf_encrypted", "encrypted_pdf")
+
+
+def test_hostile_pdfs_are_errors():
+    from citeweave.sources import pdf_words
+
+    whole = pdf_of([[(50, 700, "Some (text) here")]])
+    for cut in range(0, len(whole), 37):
+        try:
+            pdf_words.read_words(whole[:cut] + whole[cut + 5 :])
+        except (ValueError, TypeError, IndexError, AttributeError):
+            pass
+    words = pdf_words.read_words(whole)[0]
+    assert [w["text"] for w in words] == ["Some", "(text)", "here"] and words[0]["x0"] == 50 and words[0]["top"] == pytest.approx(92)
+
+
+def test_registered_extractor(spark, tmp_path):
+    documents.register_extractor("docx", lambda content: [(0, "paragraph", None, f"{len(content)} bytes", "normal", None)])
+    try:
+        rows = spark.createDataFrame([("d", "x.docx", bytearray(b"abc"), None)], "doc_id string, name string, content binary, error_code string")
+        assert [u.text for u in documents.extract(rows).collect()] == ["3 bytes"]
+    finally:
+        documents._extractors.clear()
