@@ -144,6 +144,15 @@ STYLES = {  # style: (segmentation family, parser profile, citation style, local
     "vancouver": ("numeric", "vancouver", "vancouver", "en-US"),
 }
 
+# ---- fixed values: Dutch citations
+DUTCH_PARTICLES = "de|del|della|den|der|di|du|la|le|ten|ter|van|von"
+DUTCH_RETRIEVED = r"(?i)(Geraadpleegd op\s+.+?,\s+van\s+(?:https?://\S+|www\.\S+))"
+DUTCH_GREY = r"(?i)\b(rapport|jaarverslag|brochure|persbericht|discussion paper)\b"
+DUTCH_GREY_GENRE = "informele_publicatie"
+DUTCH_EDITORS = r"(?i)\bIn:?\s+(.+?)\s*\(\s*reds?\.?\s*\)"
+DUTCH_NO_DATE = "z.d."
+HYPHENATED_WORDS = ("cost-benefit", "cross-case", "e-mail", "full-time", "in-depth", "in-work", "long-term", "part-time", "self-help", "short-term", "well-being")
+
 # ---- fixed values: shapes of the lines of a reference list
 COMMA_AUTHOR = (
     rf"(?:{AUTHOR_TOKEN}|(?:{AUTHOR_PARTICLE}\s+{AUTHOR_TOKEN}(?:\s+{AUTHOR_TOKEN})?|{AUTHOR_TOKEN}\s+{AUTHOR_PARTICLE}\s+{AUTHOR_TOKEN}(?:\s+{AUTHOR_TOKEN})?))"

@@ -243,3 +243,27 @@ def test_registered_extractor(spark, tmp_path):
         assert [u.text for u in documents.extract(rows).collect()] == ["3 bytes"]
     finally:
         documents._extractors.clear()
+
+
+def test_dutch_rules(spark):
+    raws = [
+        ("Jansen, A. B., de Vries, C. en van Dijk, D. (2010). Een titel over onder-wijs en e-mail. Uitgever.", "apa7_nl"),
+        ("Ministerie van Onderwijs. (z.d.). Jaarverslag van de sector. Geraadpleegd op 3 mei 2020, van www.rijk.nl/x", "apa7_nl"),
+        ("Jansen, A. (2011). Hoofdstuk. In P. Bakker en Q. van Leeuwen (red.), Boek over dingen (pp. 1-9). Boom.", "apa7_nl"),
+        ("Jansen AB en Smit, C. (2012). Titel. Tijdschrift, 3(1), 2-4.", "apa7_nl"),
+        ("Jansen, A. B., de Vries, C. en van Dijk, D. (2010). Een titel over onder-wijs. Uitgever.", "apa7_en"),
+    ]
+    df = spark.createDataFrame([(k, r, s) for k, (r, s) in enumerate(raws)], "k int, raw_reference string, style string")
+    out = [r.parsed for r in parse.parse_references(df, style="style").orderBy("k").collect()]
+    names = lambda values: [(n.family, n.given) for n in values]
+    assert names(out[0].author) == [("Jansen", "A. B"), ("de Vries", "C"), ("van Dijk", "D")] or names(out[0].author)[:1] == [("Jansen", "A. B.")]
+    assert len(out[0].author) == 3 and out[0].title == ["Een titel over onderwijs en e-mail"]
+    assert "z.d." in out[1].date and out[1].issued_year is None and out[1].genre == ["informele_publicatie"] and "https://www.rijk.nl/x" in out[1].url and out[1].organization == ["Ministerie van Onderwijs"]
+    assert len(out[2].editor) == 2 and out[2].editor[1].family == "van Leeuwen"
+    assert names(out[3].author)[0] == ("Jansen", "A.B.") and names(out[3].author)[1][0] == "Smit" and out[4].title == ["Een titel over onder-wijs"]
+
+
+def test_registered_parser(spark):
+    parse.register_parser("empty", lambda df, raw, style: parse.parse_fields(df, raw, style).withColumn("parsed", F.col("parsed").withField("title", F.array(F.lit("fixed")))))
+    df = spark.createDataFrame([("Smith, J. (2001). T. J, 1(2), 3-4.",)], "raw_reference string")
+    assert parse.parse_references(df, parser="empty").first().parsed.title == ["fixed"]
