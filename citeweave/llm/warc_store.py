@@ -167,8 +167,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     read = materialize(read, "warc-read")  # without payloads
     responses = read.where("record_type = 'response'").select("page_id", "n_bytes", "payload_digest", "record_type", "refers_to")
     revisits = read.where("record_type <> 'response'")
-    known = responses.select(F.col("page_id").cast("string").alias("refers_to"), F.col("payload_digest").alias("first_digest"), F.col("n_bytes").alias("first_bytes")).distinct()
-    same = F.when(F.col("first_digest") == F.col("payload_digest"), F.col("first_digest")).otherwise(F.raise_error(F.lit("a revisit refers to another payload")))
-    again = revisits.join(known, "refers_to").select("page_id", F.col("first_bytes").alias("n_bytes"), same.alias("payload_digest"), "record_type", "refers_to")
+    known = responses.select(F.col("page_id").cast("string").alias("refers_to"), "payload_digest", F.col("n_bytes").alias("first_bytes")).distinct()
+    n_bytes = F.when(F.col("first_bytes").isNotNull(), F.col("first_bytes")).otherwise(F.raise_error(F.lit("a revisit refers to no response with its payload")))
+    again = revisits.drop("n_bytes").join(known, ["refers_to", "payload_digest"], "left").select("page_id", n_bytes.alias("n_bytes"), "payload_digest", "record_type", "refers_to")
     found = responses.unionByName(again)
     return found.select("page_id", F.col("n_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
