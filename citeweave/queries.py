@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` of files with the columns that order them as they are stored: by file name, then by place in the file."""
+    place = {"_file": F.col("_metadata.file_path")} if len(rows.inputFiles()) > 1 else {}
+    place["_row"] = F.col("_metadata.row_index")
+    return rows.withColumns(place), list(place)
+
+
 def _joined(c: Column, sep: str = "|") -> Column:
     return F.array_join(c, sep)
 
@@ -199,8 +206,9 @@ def catalog_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doi"), "l_linenumber", "l_returnflag")
-    return C.upsert_latest(rows, "doi", [F.col("l_linenumber")]).select("doi", F.col("l_linenumber").alias("seq"), "l_returnflag")
+    lines, place = placed(table(spark, sf_dir, "lineitem"))
+    rows = lines.select(F.col("l_orderkey").alias("doi"), "l_linenumber", "l_returnflag", *place)
+    return C.upsert_latest(rows, "doi", [F.col("l_linenumber")], place).select("doi", F.col("l_linenumber").alias("seq"), "l_returnflag")
 
 
 @query

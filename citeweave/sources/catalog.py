@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ COLUMNS = [
 def insert_or_ignore(new: DataFrame, existing: DataFrame | None, keys: list[list[str]], order: list[str]) -> DataFrame:
     """Rows of ``new`` that violate none of the unique ``keys``, neither among themselves (the first by ``order`` wins) nor against ``existing``.
 
-    A key with a null part constrains nothing.
+    A key with a null part constrains nothing. Rows that are equal by ``order`` are told apart by no rule, so it should end with a unique column.
     """
     for key in keys:
         filled = F.lit(True)
@@ -34,9 +35,9 @@ def insert_or_ignore(new: DataFrame, existing: DataFrame | None, keys: list[list
     return new
 
 
-def upsert_latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row for each key: the last by ``order`` (insert or replace)."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in order]))
+def upsert_latest(rows: DataFrame, key: str, order: list[Column], place: Sequence[str] = ()) -> DataFrame:
+    """One row for each key: the last by ``order`` (insert or replace), and of equal ones the first by ``place``."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in order], *place))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
 
 

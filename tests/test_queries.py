@@ -44,3 +44,19 @@ def test_query_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["catalog_upsert"])
+def test_ties_go_by_place_in_the_files(spark, tmp_path, name):
+    """Lines with the same order and number, in two files of which the second is larger, so that Spark reads it first."""
+    con = duckdb.connect()
+    line = "i % 50 as l_orderkey, 100 * {f} + i as l_partkey, cast(1 as int) as l_linenumber, chr(cast(65 + (i + {f}) % 26 as int)) as l_returnflag"
+    os.mkdir(tmp_path / "lineitem.parquet")
+    for f, n in ((1, 400), (2, 9000)):
+        con.execute(f"copy (select {line.format(f=f)} from range({n}) t(i)) to '{tmp_path}/lineitem.parquet/{f}.parquet'")
+    con.execute(f"copy (select cast(7 as bigint) as o_orderkey, 'F' as o_orderstatus) to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(con.sql(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall())
