@@ -198,10 +198,10 @@ def openlibrary_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalog_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    new = lines.select(F.concat(F.lit("10.5555/"), "l_orderkey").alias("doi"), F.when(F.col("l_linenumber") != 2, F.col("l_partkey")).alias("isbn"), F.lit("x").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    lines, place = placed(table(spark, sf_dir, "lineitem"))
+    new = lines.select(F.concat(F.lit("10.5555/"), "l_orderkey").alias("doi"), F.when(F.col("l_linenumber") != 2, F.col("l_partkey")).alias("isbn"), F.lit("x").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), *place)
     existing = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("10.5555/"), "o_orderkey").alias("doi"), F.lit(None).cast("long").alias("isbn"), F.lit("x").alias("source"))
-    return C.insert_or_ignore(new, existing, [["doi"], ["isbn", "source"]], ["seq"]).select("doi", "isbn", "seq")
+    return C.insert_or_ignore(new, existing, [["doi"], ["isbn", "source"]], ["seq", *place]).select("doi", "isbn", "seq")
 
 
 @query

@@ -46,7 +46,7 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["catalog_upsert"])
+@pytest.mark.parametrize("name", ["catalog_upsert", "catalog_insert_or_ignore"])
 def test_ties_go_by_place_in_the_files(spark, tmp_path, name):
     """Lines with the same order and number, in two files of which the second is larger, so that Spark reads it first."""
     con = duckdb.connect()
