@@ -101,24 +101,34 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ similarity
 
 
-def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
-    a = p.toDF("a_key", "a_name", "p_brand", "p_size", "a_type")
-    b = p.select(F.col("p_partkey").alias("b_key"), F.col("p_name").alias("b_name"), "p_brand", "p_size", F.col("p_type").alias("b_type"))
-    return a.join(b, ["p_brand", "p_size"]).where("a_key < b_key")
+def _part_pairs(spark: SparkSession, sf_dir: str, value: Column, features: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
+    """a_key, b_key and ``measures`` of all pairs of parts of one brand and size, the smaller key first.
+
+    Measures depend on ``value`` alone: ``features`` are found once for each value of a group, measures
+    once for each pair of values, and only then are the keys of both written out.
+    """
+    group = ["p_brand", "p_size"]
+    values = table(spark, sf_dir, "part").groupBy(*group, value.alias("value")).agg(F.collect_list("p_partkey").alias("keys"))
+    values = spread(values, *group).withColumns(features)
+    side = lambda x: values.select(*group, *[F.col(c).alias(f"{x}_{c}") for c in ("keys", *features)])
+    pairs = side("a").hint("merge").join(side("b"), group).where(F.array_min("a_keys") < F.array_max("b_keys"))
+    pairs = pairs.select("a_keys", "b_keys", *[c.alias(name) for name, c in measures.items()])
+    pairs = pairs.select(F.explode("a_keys").alias("a_key"), "b_keys", *measures).select("a_key", F.explode("b_keys").alias("b_key"), *measures)
+    return pairs.where("a_key < b_key")
 
 
 @query
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = F.concat_ws(" ", "a_name", "a_type"), F.concat_ws(" ", "b_name", "b_type")
-    pairs = _part_pairs(spark, sf_dir).withColumn("similarity", F.round(S.token_similarity(left, right), 4))
-    return pairs.select("a_key", "b_key", "similarity", S.title_strength(F.col("similarity")).alias("strength"))
+    similarity = F.round(S.jaccard(F.col("a_terms"), F.col("b_terms")), 4)
+    pairs = _part_pairs(spark, sf_dir, F.concat_ws(" ", "p_name", "p_type"), {"terms": T.title_terms(F.col("value"))}, {"similarity": similarity, "strength": S.title_strength(similarity)})
+    return pairs.select("a_key", "b_key", "similarity", "strength")
 
 
 @query
 def one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.substring_index("a_name", " ", 1), F.substring_index("b_name", " ", 1)
-    return _part_pairs(spark, sf_dir).select("a_key", "b_key", S.within_one_edit(F.lower(a), F.lower(b)).alias("close"), S.within_one_edit(F.concat(a, F.lit("s")), a).alias("plural"))
+    word = F.col("value")
+    features = {"word": F.lower(word), "plural": S.within_one_edit(F.concat(word, F.lit("s")), word)}
+    return _part_pairs(spark, sf_dir, F.substring_index("p_name", " ", 1), features, {"close": S.within_one_edit(F.col("a_word"), F.col("b_word")), "plural": F.col("a_plural")})
 
 
 @query

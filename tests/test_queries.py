@@ -60,3 +60,18 @@ def test_ties_go_by_place_in_the_files(spark, tmp_path, name):
     df = QUERIES[name](spark, str(tmp_path))
     got = sorted(tuple(r) for r in df.collect())
     assert got == sorted(con.sql(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name, costly", [("title_similarity", ("regexp", "array_intersect")), ("one_edit", ("levenshtein",))])
+def test_pairs_are_measured_by_value(spark, tmp_path, name, costly):
+    """Nothing costly is left to do for each pair of keys; repeated keys and values, empty ones and nulls lose no pair."""
+    con = duckdb.connect()
+    names = "['hot bolt', 'hot bolts', 'red bolt', 'red', '', 'Reds of the ring'][1 + i % 6]"
+    con.execute(f"copy (select cast(i // 2 * 2 as bigint) as p_partkey, {names} as p_name, 'b' || i % 2 as p_brand, ['LARGE', 'of the', null][1 + i % 3] as p_type, cast(case when i % 11 > 0 then 1 end as int) as p_size from range(300) t(i)) to '{tmp_path}/part.parquet'")
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    per_pair = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert not any(c in per_pair for c in costly)
+    condition = "a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey"
+    keys = con.sql(f"select a.p_partkey, b.p_partkey from part a join part b on {condition}").fetchall()
+    assert sorted((r.a_key, r.b_key) for r in df.collect()) == sorted(keys)
