@@ -75,3 +75,9 @@ def test_pairs_are_measured_by_value(spark, tmp_path, name, costly):
     condition = "a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey"
     keys = con.sql(f"select a.p_partkey, b.p_partkey from part a join part b on {condition}").fetchall()
     assert sorted((r.a_key, r.b_key) for r in df.collect()) == sorted(keys)
+
+
+def test_search_plan_explodes_a_stage(spark):
+    """The planner filters an exploded column beforehand and would find the plan anew for that."""
+    plan = QUERIES["search_plan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "explode(plan" in plan
