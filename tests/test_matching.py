@@ -322,3 +322,19 @@ def test_artifacts(spark, tmp_path):
     assert "A & \\*b\\*" in at("md").read_text() and at("glance.txt").read_text().startswith("ref_0001\tverified\thigh\tA & *b*")
     assert all(os.stat(at(s)).st_mode & 0o777 == 0o600 for s in ("json", "html"))
     assert artifacts.delete_documents(["d/1"], str(tmp_path / "r")) == 4 and not [f for f in (tmp_path / "r").iterdir() if not f.name.endswith(".crc")]
+
+
+def test_searches_share_the_records_of_their_rarest_words(spark):
+    """400 records, each word in a quarter of them or more: a path has only the records that hold all its words."""
+    words = [f"{'abcd'[k % 4] * 3} {'efgh'[k // 4 % 4] * 3} {'ijkl'[k // 16 % 4] * 3} common" for k in range(400)]
+    base = C.mock_catalog(spark, 1).where("source_table = 'search_journal'").drop("title_norm", "source_id", "record_id", "granularity", "container_title", "doi_norm")
+    rows = spark.createDataFrame([(f"r{k:03d}", w) for k, w in enumerate(words)], "source_id string, title_norm string")
+    p = resolve.Catalog.build(C.with_record_ids(base.crossJoin(rows)))
+    asked = ["aaa eee iii common", "aaa eee jjj", "aaa eee", "bbb", "aaa eeee"]
+    data = [(k, ["search_journal"], [(0, "title_norm", w) for w in a.split()]) for k, a in enumerate(asked)]
+    paths = spark.createDataFrame(data, "k int, t array<string>, rare array<struct<df:long,field:string,word:string>>").withColumn("source_table", F.get("t", F.lit(0)))
+    paths = paths.withColumn("path", search._path(F.size("rare")))
+    fields = p.catalog.select("source_table", "record_id", "title_norm", "author_text", "container_text")
+    found = search.records_of_paths(paths, fields, p.index).join(paths.select("k", "path"), "path").groupBy("k").agg(F.sort_array(F.collect_list("record_id")).alias("ids")).collect()
+    expected = {k: [f"search_journal:r{n:03d}" for n, w in enumerate(words) if set(a.split()) <= set(w.split())] for k, a in enumerate(asked)}
+    assert {r.k: r.ids for r in found} == {k: v for k, v in expected.items() if v}
